@@ -162,3 +162,12 @@ def windows(h: np.ndarray, n: int) -> np.ndarray:
     np.cumsum(h * powers(_WORD_BASE, k), out=total[1:])
     out[: k - n + 1] = mix((total[n:] - total[: k - n + 1]) * powers(_WORD_BASE_INV, k - n + 1) + np.uint64(n))
     return out
+
+
+#: UTF-8 lead bytes of scripts (fixed by Unicode's blocks); letters of ASCII count as Latin.
+LEADS = {"latin": [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC3, 0xCA)], "greek": [0xCE, 0xCF], "cyrillic": [*range(0xD0, 0xD4)], "hebrew": [0xD6, 0xD7], "arabic": [*range(0xD8, 0xDC)], "indic": [0xE0], "cjk": [*range(0xE3, 0xEA)], "hangul": [*range(0xEA, 0xEE)]}
+SCRIPTS = [*LEADS, "other"]
+#: Byte -> number of its script from 1 on (the later one counts in a mixed word), 0 for none.
+SCRIPT_OF = np.zeros(256, dtype=np.uint8)
+for _n, _leads in enumerate(LEADS.values(), 1):
+    SCRIPT_OF[_leads] = _n

@@ -19,15 +19,10 @@ from pyspark.sql import functions as F
 
 from ._spark import carried_part, prepare, with_carried
 from ._tokens import pieces, vocabulary
-from ._words import BLANK, Words, mix, text_bytes, windows, words
+from ._words import BLANK, LEADS, SCRIPTS, Words, mix, text_bytes, windows, words
 
 LEAST_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
 
-#: UTF-8 lead bytes of scripts (fixed by Unicode's blocks); letters of ASCII count as Latin.
-LEADS = {"latin": [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC3, 0xCA)], "greek": [0xCE, 0xCF], "cyrillic": [*range(0xD0, 0xD4)], "hebrew": [0xD6, 0xD7], "arabic": [*range(0xD8, 0xDC)], "indic": [0xE0], "cjk": [*range(0xE3, 0xEA)], "hangul": [*range(0xEA, 0xEE)]}
-SCRIPTS = [*LEADS, "other"]
-
-
 @dataclass(frozen=True)
 class Band:
     """Closed ranges outside which a text is rejected."""

@@ -6,25 +6,46 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ._spark import table
+from ._spark import new_path, save, table
+from .bestfit import pack_best_fit, segments
 from .fertility import quality_rules
 from .hilbert import pack_along_curve
+from .language import identify_languages
+from .quadratic import quality_scores
 from .substring import cut_duplicates
 from .superminhash import near_duplicates
+from .warc import write_archives
 from .winnowing import contamination
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_language_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op3_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = write_archives(table(spark, sf_dir, "pages"), new_path(spark, "warc"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_along_curve(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
 
 
+def op5_quadratic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op7_best_fit_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments(save(pack_best_fit(table(spark, sf_dir, "documents")), "packed"))
+
+
 def op8_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -38,5 +59,5 @@ def op10_substring_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_hilbert_packing, op6_winnowing, op8_fertility_rules, op9_superminhash, op10_substring_index)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_language_viterbi, op3_warc_normaliser, op4_hilbert_packing, op5_quadratic_quality, op6_winnowing, op7_best_fit_binary, op8_fertility_rules, op9_superminhash, op10_substring_index)}
 ORACLE_SQL: dict[str, str] = {}

@@ -16,10 +16,15 @@ from .substring import cut_duplicates
 from .superminhash import near_duplicates
 from .warc import write_archives
 from .winnowing import contamination
+from .wrapper import main_texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 def op2_language_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -59,5 +64,5 @@ def op10_substring_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_language_viterbi, op3_warc_normaliser, op4_hilbert_packing, op5_quadratic_quality, op6_winnowing, op7_best_fit_binary, op8_fertility_rules, op9_superminhash, op10_substring_index)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_wrapper, op2_language_viterbi, op3_warc_normaliser, op4_hilbert_packing, op5_quadratic_quality, op6_winnowing, op7_best_fit_binary, op8_fertility_rules, op9_superminhash, op10_substring_index)}
 ORACLE_SQL: dict[str, str] = {}

@@ -1,6 +1,7 @@
-"""All queries over the driver's tables, and their SQL."""
+"""All queries of the code-graph engine, and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans.queries import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -1,0 +1 @@
+"""SQL functions, table functions and worker set-up."""

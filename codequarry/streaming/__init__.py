@@ -1,0 +1 @@
+"""Continuous change ingestion."""

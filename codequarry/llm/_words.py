@@ -131,10 +131,10 @@ def hash_runs(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return mix(np.add.reduceat(terms, first) ^ lengths.astype(np.uint64) * _GOLD)
 
 
-def words(col: pa.Array, table: np.ndarray) -> Iterator[Words]:
-    """The words of a text column, in chunks of whole documents."""
+def words(col: pa.Array, table: np.ndarray, most: int = 0) -> Iterator[Words]:
+    """The words of a text column, in chunks of whole documents of about ``most`` bytes."""
     data, off = text_bytes(col)
-    for a, b in chunks(off):
+    for a, b in chunks(off, most):
         lo, hi = int(off[a]), int(off[b])
         part, at = data[lo:hi], (off[a : b + 1] - lo).astype(np.int64)
         seen = table[part]

@@ -34,6 +34,7 @@ from ._spark import carried_part, drop, prepare, save, with_carried
 from ._words import _WORD_BASE, _WORD_BASE_INV, BLANK, Words, chunks, mix, powers, spread, windows, words
 
 WINDOW, GRAM = 50, 10
+CHUNK = 1 << 20  #: bytes of text that are worked on at once
 _SPAN = "struct<fp: bigint, span: bigint, start: int, count: int>"
 _SPANS_ARROW = pa.list_(pa.struct([("fp", pa.int64()), ("span", pa.int64()), ("start", pa.int32()), ("count", pa.int32())]))
 
@@ -76,7 +77,7 @@ def spans(w: Words, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray,
 def _find_spans(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for w in words(batch.column("text"), BLANK):
+            for w in words(batch.column("text"), BLANK, CHUNK):
                 doc, fp, span, start, count = spans(w, window, gram)
                 off = np.searchsorted(doc, np.arange(len(w) + 1))
                 of = pa.StructArray.from_arrays([pa.array(fp.view(np.int64)), pa.array(span.view(np.int64)), pa.array(start, pa.int32()), pa.array(count, pa.int32())], fields=list(_SPANS_ARROW.value_type))
@@ -94,7 +95,7 @@ def _window_hashes(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = batch.column("wanted")
-            for w in words(batch.column("text"), BLANK):
+            for w in words(batch.column("text"), BLANK, CHUNK):
                 part = wanted.slice(w.row, len(w))
                 flat, size = part.flatten(), np.asarray(part.value_lengths(), dtype=np.int64)
                 doc = np.repeat(np.arange(len(w)), size)
@@ -116,14 +117,14 @@ def _rebuild(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             sizes = np.asarray(pa.compute.binary_length(whole.column("text")).fill_null(0), dtype=np.int64)
-            for lo, hi in chunks(np.concatenate(([0], np.cumsum(sizes))), 16 << 20):  # results are of the texts' size
+            for lo, hi in chunks(np.concatenate(([0], np.cumsum(sizes))), 4 * CHUNK):  # results are of the texts' size
                 yield rebuilt(whole.slice(lo, hi - lo))
 
     def rebuilt(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         cuts = batch.column("cuts")
         texts = batch.column("text")
-        for w in words(texts, BLANK):
+        for w in words(texts, BLANK, CHUNK):
             part = cuts.slice(w.row, len(w))
             size = np.asarray(part.value_lengths().fill_null(0), dtype=np.int64)
             flat = part.flatten()

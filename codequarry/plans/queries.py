@@ -474,7 +474,7 @@ def extract_nodes(spark, d):
 
 @query("SELECT 'CALLS' AS kind, x || p_partkey AS source, x || (p_partkey // 2) AS target FROM part, (VALUES ('f'), ('g')) v(x) UNION ALL SELECT CASE x WHEN 'J' THEN 'EXTENDS' ELSE 'INHERITS' END, x || p_partkey, x || (p_partkey // 2) FROM part, (VALUES ('J'), ('P')) v(x) WHERE p_partkey > 0", graph=False)
 def resolve_references(spark, d):
-    raw = P.extract(_sources(spark, d))
+    raw = P.extract(_sources(spark, d)).persist()  # read by several branches
     n = P.nodes_of(raw, "p", "c1")
     name = lambda end, to: n.select(F.col("id").alias(end), F.col("name").alias(to))
     return P.resolve(raw, n).join(name("from_id", "source"), "from_id").join(name("to_id", "target"), "to_id").select("kind", "source", "target")

@@ -201,10 +201,19 @@ def extract_text(path: str, lang: str, text: str) -> list[dict]:
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.string()] * 6 + [pa.int32()] * 2 + [pa.string()] * 3 + [pa.int32(), pa.list_(pa.string()), pa.string()]
+
+    def made(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in zip(_NAMES, kinds, strict=True)], names=_NAMES)
+
+    rows: list[dict] = []
     for batch in batches:
         for path, lang, content in zip(*(batch.column(c).to_pylist() for c in ("path", "lang", "content")), strict=True):
-            rows = extract_text(path, lang, content.decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in zip(_NAMES, kinds, strict=True)], names=_NAMES)
+            rows += extract_text(path, lang, content.decode("utf-8", "replace"))
+            if len(rows) >= 2000:
+                yield made(rows)
+                rows = []
+    if rows:
+        yield made(rows)
 
 
 def extract(files: DataFrame) -> DataFrame:
@@ -234,18 +243,22 @@ def resolve(raw: DataFrame, nodes: DataFrame) -> DataFrame:
     The caller is the innermost function of that name around the reference.
     """
     refs = raw.filter("what = 'ref'").withColumn("_ref", F.monotonically_increasing_id())
-    n = nodes.select("id", "name", "kind", "file_path", "start_line", "end_line", "lang")
-    src = n.select(F.col("id").alias("from_id"), F.col("name").alias("_sn"), F.col("file_path").alias("_sp"), F.col("start_line").alias("_ss"), F.col("end_line").alias("_se"))
+    src = nodes.select(F.col("id").alias("from_id"), F.col("name").alias("_sn"), F.col("file_path").alias("_sp"), F.col("start_line").alias("_ss"), F.col("end_line").alias("_se"))
     owner = F.coalesce("name", "owner")
     at = refs.filter(~F.col("kind").isin("IMPORTS", "INCLUDES")).join(src, (owner == F.col("_sn")) & (F.col("path") == F.col("_sp")) & F.col("start_line").between(F.col("_ss"), F.col("_se")))
     inner = F.row_number().over(Window.partitionBy("_ref").orderBy(F.col("_se") - F.col("_ss"), "from_id"))
     at = at.withColumn("_n", inner).filter("_n = 1").select("_ref", "from_id", "path", "lang", F.col("kind").alias("edge_kind"), "target")
-    wanted = F.when(F.col("edge_kind").isin("CALLS", "OVERRIDES"), F.col("kind").isin(*S.CALLABLE_KINDS)).otherwise(F.col("kind").isin("Class", "Interface", "Struct", "Enum", "Trait"))
-    local = at.join(n.withColumnRenamed("lang", "_l"), (F.col("target") == F.col("name")) & (F.col("path") == F.col("file_path"))).filter(wanted & (F.col("id") != F.col("from_id")) | wanted & (F.col("edge_kind") == "CALLS"))
-    first = F.row_number().over(Window.partitionBy("_ref").orderBy("start_line", "id"))
-    local = local.withColumn("_n", first).filter("_n = 1").select("_ref", "from_id", "edge_kind", F.col("id").alias("to_id"))
-    far = at.join(local.select("_ref"), "_ref", "left_anti").join(n, (F.col("target") == n["name"]) & (at["lang"] == n["lang"])).filter(wanted)
-    far = far.withColumn("_n", F.row_number().over(Window.partitionBy("_ref").orderBy("file_path", "start_line", "id"))).filter("_n = 1").select("_ref", "from_id", "edge_kind", F.col("id").alias("to_id"))
+    to = nodes.select(F.col("id").alias("to_id"), F.col("name").alias("_tn"), F.col("kind").alias("_tk"), F.col("file_path").alias("_tp"), F.col("start_line").alias("_ts"), F.col("lang").alias("_tl"))
+    wanted = F.when(F.col("edge_kind").isin("CALLS", "OVERRIDES"), F.col("_tk").isin(*S.CALLABLE_KINDS)).otherwise(F.col("_tk").isin("Class", "Interface", "Struct", "Enum", "Trait"))
+    other = (F.col("to_id") != F.col("from_id")) | (F.col("edge_kind") == "CALLS")  # a function may call itself
+
+    def first(hit: DataFrame, *order: str) -> DataFrame:
+        n = F.row_number().over(Window.partitionBy("_ref").orderBy(*order))
+        return hit.filter(wanted & other).withColumn("_n", n).filter("_n = 1").select("_ref", "from_id", "edge_kind", "to_id")
+
+    local = first(at.join(to, (F.col("target") == F.col("_tn")) & (F.col("path") == F.col("_tp"))), "_ts", "to_id")
+    rest = at.join(local.select(F.col("_ref").alias("_seen")), F.col("_ref") == F.col("_seen"), "left_anti")
+    far = first(rest.join(to, (F.col("target") == F.col("_tn")) & (F.col("lang") == F.col("_tl"))), "_tp", "_ts", "to_id")
     found = local.unionByName(far).select("from_id", F.col("edge_kind").alias("kind"), "to_id").distinct()
     return found.withColumn("id", S.edge_id(F.col("from_id"), F.col("kind"), F.col("to_id")))
 

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ._spark import only, prepare
 from ._tokens import vocabulary, word_bpe
+from ._words import BLANK, words
 
 LENGTH, END, PAD, WINDOW = 2048, 1, 0, 4_000_000
 _PIECE = pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64())])
@@ -81,7 +82,6 @@ def best_fit_decreasing(sizes: list[int], length: int) -> list[list[int]]:
 def _pack(path: str, length: int, end: int, pad: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(path)
-        tail = np.array([end], dtype=bpe.kind).tobytes()
         number = TaskContext.get().partitionId() << 32
         held: list[tuple[int | None, np.ndarray]] = []
         tokens = 0
@@ -110,10 +110,10 @@ def _pack(path: str, length: int, end: int, pad: int, window: int):
                 number += len(rows)
 
         for batch in batches:
-            for i in range(batch.num_rows):
-                text = batch.column("text")[i].as_py()
-                ids = np.frombuffer(bpe.ids((text or "").encode()) + tail, dtype=bpe.kind)
-                held.append((batch.column("doc_id")[i].as_py(), ids))
+            names = batch.column("doc_id").to_pylist()
+            for w in words(batch.column("text"), BLANK):
+                ids, off = bpe.documents(w, end)
+                held += [(names[w.row + i], ids[off[i] : off[i + 1]]) for i in range(len(w))]
                 tokens += len(ids)
                 if tokens >= window:
                     yield from packed()

@@ -1,8 +1,7 @@
 """Packing along a space-filling curve (operator 4).
 
-Each document's token counts are hashed to a vector of random signs and
-projected to DIMS dimensions; its grid cell's place on the Hilbert curve is its
-key.  Documents are range-sorted by key, and the curve's token stream is cut every
+Each document's tokens are hashed to vectors of DIMS random signs, whose scaled
+mean is a grid cell; the cell's place on the Hilbert curve is the document's key.  Documents are range-sorted by key, and the curve's token stream is cut every
 ``length`` tokens: neighbours on the curve share sequences, every sequence but
 the very last is full, and no document waits for another to fit.
 
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ._spark import drop, only, prepare, save
 from ._tokens import vocabulary, word_bpe
-from ._words import mix
+from ._words import BLANK, mix, words
 
 LENGTH, END, DIMS, BITS = 2048, 1, 4, 10
 
@@ -54,38 +53,30 @@ def hilbert_key(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def curve_key(ids: np.ndarray, signs: np.ndarray) -> np.ndarray:
-    """The projected cell of one document: signs[token] summed with damped counts, at unit length."""
-    if not len(ids):
-        return np.zeros(signs.shape[1], dtype=np.uint64)
-    counts = np.bincount(ids)
-    seen = np.flatnonzero(counts)
-    weight = np.sqrt(counts[seen])
-    v = weight @ signs[seen] / np.sqrt((weight**2).sum())
+def curve_cells(ids: np.ndarray, off: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """Grid cells of documents (ids of each from off[i] on): the mean of their tokens' vectors, scaled by the root of their number."""
+    total = np.add.reduceat(signs[ids], off[:-1], axis=0)
+    v = total / np.sqrt(np.diff(off))[:, None]
     return np.clip((np.tanh(v / 3) + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.uint64)
 
 
 def token_signs(n: int, dims: int = DIMS) -> np.ndarray:
-    """A hashed vector of random signs for each token id."""
+    """A hashed vector of random signs for each token id; early merges, which are in all texts, weigh less."""
     h = mix(np.arange(1, n * dims + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return np.where(h >> np.uint64(63), 1.0, -1.0).reshape(n, dims)
+    weight = np.minimum(1.0, np.arange(n) / (n / 8))
+    return (np.where(h >> np.uint64(63), 1.0, -1.0).reshape(n, dims) * weight[:, None]).astype(np.float32)
 
 
 def _tokenize(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(path)
-        signs = token_signs(1 << 16 if bpe.kind.itemsize == 2 else bpe.lib.get_vocab_size())
-        tail = np.array([end], dtype=bpe.kind).tobytes()
+        signs = token_signs(bpe.size)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                texts = part.column("text").cast(pa.large_binary()).fill_null(b"").to_pylist()
-                ids = [bpe.ids(t) + tail for t in texts]
-                cells = np.array([curve_key(np.frombuffer(x, bpe.kind), signs) for x in ids], dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(hilbert_key(cells).astype(np.int64)), pa.array([len(x) // bpe.kind.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                    names=["doc_id", "curve", "doc_tokens", "ids"],
-                )
+            for w in words(batch.column("text"), BLANK):
+                ids, off = bpe.documents(w, end)
+                cells = curve_cells(ids, off, signs)
+                raw = pa.Array.from_buffers(pa.large_binary(), len(w), [None, pa.py_buffer(off * bpe.kind.itemsize), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(w.row, len(w)), pa.array(hilbert_key(cells).astype(np.int64)), pa.array(np.diff(off)), raw.cast(pa.binary())], names=["doc_id", "curve", "doc_tokens", "ids"])
 
     return run
 
@@ -158,5 +149,5 @@ def pack_along_curve(docs: DataFrame, tokenizer: str | None = None, length: int
     places = placed.join(F.broadcast(base), "part").select("uid", (F.col("place") + F.col("base")).alias("place"))
     places = save(places, "places")
     drop(placed)
-    out = made.select("uid", "doc_id", "doc_tokens", "ids").join(places, "uid").select("doc_id", "doc_tokens", "ids", "place")
+    out = made.select("uid", "doc_id", "doc_tokens", "ids").join(places.hint("merge"), "uid").select("doc_id", "doc_tokens", "ids", "place")
     return out.mapInArrow(_cut(length, width, with_ids), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")

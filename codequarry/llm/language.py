@@ -33,6 +33,7 @@ PENALTY = 12.0  #: nats, for a change of language between two words
 WEIGHT = 0.5  #: of a word's log probability; trigrams overlap and so count twice
 LEAST_SHARE = 0.01  #: of a language's letters, for a script to be one of its own
 MOST_ROWS = 30_000
+_ASCII_LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
 
 
 def _distinct(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -179,9 +180,12 @@ def _predict(model):
                 total = share.sum(axis=1)
                 pred = np.where(total > 0, share.argmax(axis=1), m.common) if k else np.full(len(w), -1)
                 score = np.where(total > 0, share.max(axis=1) / np.maximum(total, 1), 0.0)
-                for i in np.flatnonzero(total == 0):  # no letter by its bytes: ask Unicode
+                ascii_ = np.concatenate(([0], np.cumsum(_ASCII_LETTER[w.data])))
+                first = np.append(w.start, len(w.data))[w.off[:-1]]
+                last = np.where(np.diff(w.off) > 0, np.append(w.end, 0)[w.off[1:] - 1], first)
+                for i in np.flatnonzero(ascii_[last] == ascii_[first]):  # lead bytes don't tell all letters from signs: ask Unicode
                     if not any(map(str.isalpha, w.text(i).decode())):
-                        pred[i] = -1
+                        pred[i], score[i] = -1, 0.0
                 doc = w.doc()
                 new = np.ones(len(path), dtype=bool)
                 new[1:] = (path[1:] != path[:-1]) | (doc[1:] != doc[:-1])

@@ -116,7 +116,7 @@ def walk(spark: SparkSession, root: str, rules: list[Rule] | None = None, exclud
     if lang is not None:
         files = files.filter(F.col("lang") == lang)
     if not keep_empty:
-        files = files.filter(F.length(F.trim(F.decode("content", "ISO-8859-1"))) > 0)
+        files = files.filter(F.decode("content", "ISO-8859-1").rlike(r"\S"))
     return files.select("path", "lang", "content")
 
 

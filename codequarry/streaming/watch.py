@@ -32,6 +32,7 @@ def debounce(events: DataFrame, gap: str = "2 seconds", keys: tuple[str, ...] =
 
 def watch(events: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, gap: str = "2 seconds", lateness: str = "10 seconds", available_now: bool = False) -> StreamingQuery:
     """Start a query that calls ``apply`` with each micro-batch of finished bursts; batch ids let it skip a repeat."""
-    timed = paths_of(events).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
-    writer = debounce(timed, gap).writeStream.outputMode("append").foreachBatch(apply).option("checkpointLocation", checkpoint)
+    # A stream's session windows need one more grouping key; this one is the same for all rows.
+    timed = paths_of(events).withColumn("watch", F.expr("left(path, 0)")).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
+    writer = debounce(timed, gap, ("watch",)).drop("watch").writeStream.outputMode("append").foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -141,13 +141,16 @@ def pack_best_fit(docs: DataFrame, tokenizer: str | None = None, length: int = L
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for seq, raw, cu, pieces in zip(*(batch.column(c).to_pylist() for c in ("sequence_id", "ids", "cu_seqlens", "pieces")), strict=True):
-            for at, p in zip(cu, pieces, strict=False):
-                rows.append((p["doc_id"], p["start"], p["length"], zlib.crc32(raw[4 * at : 4 * (at + p["length"])]), p["doc_tokens"], seq, at))
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    for whole in batches:
+        for first in range(0, whole.num_rows, 500):
+            batch, rows = whole.slice(first, 500), []
+            for i, (seq, cu, pieces) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("sequence_id", "cu_seqlens", "pieces")), strict=True)):
+                raw = memoryview(batch.column("ids")[i].as_buffer())
+                for at, p in zip(cu, pieces, strict=False):
+                    rows.append((p["doc_id"], p["start"], p["length"], zlib.crc32(raw[4 * at : 4 * (at + p["length"])]), p["doc_tokens"], seq, at))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
 
 
 def segments(packed: DataFrame) -> DataFrame:

@@ -42,6 +42,25 @@ def vector_topk_batch(vectors: DataFrame, queries: DataFrame, k: int = 10) -> Da
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def update_vectors(vectors: DataFrame, fresh: DataFrame, gone: DataFrame) -> DataFrame:
+    """Vectors without those deleted (id) or embedded anew, and the new ones."""
+    stale = fresh.select("id").unionByName(gone.select("id")).distinct()
+    return vectors.join(stale, "id", "left_anti").unionByName(fresh.select(*vectors.columns))
+
+
+def nearest_by_lsh(vectors: DataFrame, query: list[float], k: int = 10, length: float = 0.5, tables: int = 8, seed: int = 1) -> DataFrame:
+    """About the ``k`` nearest by cosine, from random-projection buckets: (id, score). Larger ``length`` and ``tables`` raise recall."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.linalg import Vectors
+
+    unit = Normalizer(inputCol="v", outputCol="u").transform(vectors.select("id", array_to_vector("embedding").alias("v")))
+    norm = sum(x * x for x in query) ** 0.5 or 1.0
+    model = BucketedRandomProjectionLSH(inputCol="u", outputCol="h", bucketLength=length, numHashTables=tables, seed=seed).fit(unit)
+    near = model.approxNearestNeighbors(unit, Vectors.dense([x / norm for x in query]), k, "d")
+    return near.select("id", (1 - F.col("d") * F.col("d") / 2).alias("score")).orderBy(F.desc("score"), "id")
+
+
 def above(scored: DataFrame, least: float) -> DataFrame:
     return scored.filter(F.col("score") >= least)
 

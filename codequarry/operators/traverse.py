@@ -36,19 +36,20 @@ def live_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return e.join(ids.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
 
 
-def _related(nodes: DataFrame, edges: DataFrame, node_id: str, kinds: list[str], direction: str, depth: int, limit: int, base_kinds: tuple[str, ...] = ()) -> DataFrame:
+def _related(nodes: DataFrame, edges: DataFrame, node_id: str, kinds: list[str], direction: str, depth: int, limit: int, base_kinds: tuple[str, ...] = (), ends_only: bool = False) -> DataFrame:
+    """ends_only: dead edges and nodes may lie on the way; only the start and what is found must be live."""
     seed = current(nodes).filter(F.col("id") == node_id)
     seed = seed.filter(F.col("kind").isin(*base_kinds)) if base_kinds else seed
-    found = reach(live_edges(edges, nodes), seed.select(F.col("id").alias("seed_id")), kinds, direction, max(1, min(depth, 5)))
+    found = reach(edges if ends_only else live_edges(edges, nodes), seed.select(F.col("id").alias("seed_id")), kinds, direction, max(1, min(depth, 5)))
     return current(nodes).join(found.select("id", "depth"), "id").orderBy("qualified_name", "id").limit(limit)
 
 
-def find_callers(nodes: DataFrame, edges: DataFrame, node_id: str, max_depth: int = 1) -> DataFrame:
-    return _related(nodes, edges, node_id, CALL_KINDS, "in", max_depth, 200)
+def find_callers(nodes: DataFrame, edges: DataFrame, node_id: str, max_depth: int = 1, ends_only: bool = False) -> DataFrame:
+    return _related(nodes, edges, node_id, CALL_KINDS, "in", max_depth, 200, ends_only=ends_only)
 
 
-def find_callees(nodes: DataFrame, edges: DataFrame, node_id: str, max_depth: int = 1) -> DataFrame:
-    return _related(nodes, edges, node_id, CALL_KINDS, "out", max_depth, 200)
+def find_callees(nodes: DataFrame, edges: DataFrame, node_id: str, max_depth: int = 1, ends_only: bool = False) -> DataFrame:
+    return _related(nodes, edges, node_id, CALL_KINDS, "out", max_depth, 200, ends_only=ends_only)
 
 
 def find_subclasses(nodes: DataFrame, edges: DataFrame, node_id: str, max_depth: int = 3) -> DataFrame:

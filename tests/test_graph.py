@@ -72,3 +72,23 @@ def test_diff_and_apply_laws(spark):
     live = hist.filter("valid_to is null")
     assert V.snapshot_diff(live, new).isEmpty() and hist.count() == 5
     assert V.snapshot_diff(old, old).isEmpty()
+
+
+def test_ends_only_walks_over_the_dead(spark):
+    assert ids(G.find_callees(*graph(spark, [("a", "x"), ("x", "b")], dead=("x",)), "a", 3, ends_only=True)) == ["b"]
+
+
+def test_outputs_and_vectors(spark):
+    from codequarry.operators import output as O
+    from codequarry.operators import rank as K
+
+    n = spark.createDataFrame([("a", "f", "m.f", "Function", "go", "m.go", 3, 9, "f(x)", None)], "id string, name string, qualified_name string, kind string, lang string, file_path string, start_line int, end_line int, signature string, code_hash string")
+    std = O.standard(n)
+    assert std.columns == O.STANDARD and std.first().metadata == {"signature": "f(x)"}
+    assert O.markdown(std).first().value == "- **m.f** (Function) `m.go:3`" and '"id":"a"' in O.json_lines(std).first().value
+    v = spark.createDataFrame([(i, [float(i % 7 - 3), float(i % 5), 1.0]) for i in range(60)], "id int, embedding array<double>")
+    new = K.update_vectors(v, spark.createDataFrame([(0, [9.0, 9.0, 9.0])], v.schema), spark.createDataFrame([(1,)], "id int"))
+    assert new.count() == 59 and new.filter("id = 0").first().embedding[0] == 9.0
+    exact = [r.id for r in K.vector_topk(v, [1.0, 2.0, 1.0], 5).collect()]
+    near = [r.id for r in K.nearest_by_lsh(v, [1.0, 2.0, 1.0], 5, length=2.0).collect()]
+    assert len(set(exact) & set(near)) >= 4

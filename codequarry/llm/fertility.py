@@ -2,7 +2,8 @@
 
 A public sentencepiece vocabulary with byte fallback encodes every word of a
 text.  Three figures tell prose from junk without a model: letters and digits per token, the share of
-byte-fallback tokens, and the tokens' entropy over its largest possible value.
+byte-fallback tokens, and the tokens' entropy over its largest possible value.  Entropy levels off
+while that value grows with the length, so a long text is judged by the mean over equal blocks of all of it.
 Each script has a band for each; a figure outside its band rejects the text.
 A few plain counts (symbols, repeated lines and windows) go with them.
 """
@@ -22,6 +23,7 @@ from ._tokens import pieces, vocabulary
 from ._words import BLANK, LEADS, SCRIPTS, Words, mix, text_bytes, windows, words
 
 LEAST_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
+BLOCK = 4096  #: tokens of a block of entropy at most; a shorter text is one block
 
 @dataclass(frozen=True)
 class Band:
@@ -69,6 +71,18 @@ def _dup_lines(text: bytes) -> int:
     return n
 
 
+def entropy(ids: np.ndarray) -> float:
+    """Mean over equal blocks of the ids of a block's entropy over its largest possible value, log2 of its length."""
+    if len(ids) < 2:
+        return 0.0
+    total, parts = 0.0, np.array_split(ids, -(-len(ids) // BLOCK))
+    for part in parts:
+        counts = np.bincount(part)
+        p = counts[counts > 0] / len(part)
+        total += float(-(p * np.log2(p)).sum() / np.log2(len(part)))
+    return min(total / len(parts), 1.0)  # ids that all differ may round to more
+
+
 def text_statistics(col: pa.Array, path: str) -> Iterator[tuple[int, dict[str, list]]]:
     """First row, and the columns of _ARROW, for chunks of whole documents."""
     vocab = pieces(path)
@@ -87,12 +101,10 @@ def text_statistics(col: pa.Array, path: str) -> Iterator[tuple[int, dict[str, l
             leads = np.bincount(raw, minlength=256)
             by = [int(leads[x].sum()) for x in LEADS.values()]
             n = len(ids)
-            counts = np.bincount(ids) if n else np.zeros(0, np.int64)
-            p = counts[counts > 0] / max(n, 1)
             row = {
                 "n_words": int(w.off[i + 1] - w.off[i]), "word_chars": int(chars[i]), "n_symbols": int(symbols[i]), "n_dup_lines": _dup_lines(text), "n_repeat_words": int(again[i]),
                 "script": SCRIPTS[int(np.argmax(by))] if max(by) else "other", "n_tokens": n, "chars_per_token": letters[i] / n if n else 0.0,
-                "byte_share": float(vocab.is_byte[ids].mean()) if n else 0.0, "entropy": float(-(p * np.log2(p)).sum() / np.log2(n)) if n > 1 else 0.0,
+                "byte_share": float(vocab.is_byte[ids].mean()) if n else 0.0, "entropy": entropy(ids),
             }
             for k, v in row.items():
                 out[k].append(v)

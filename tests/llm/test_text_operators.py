@@ -124,6 +124,17 @@ def test_quality_rules(spark):
     assert not got.filter("kept and base_failed").count() and not got.filter("doc_id = 200 and kept").count()
 
 
+def test_quality_rules_do_not_tire_of_long_texts(spark):
+    """A long run of clean documents is as clean as they are; a long run of few words is not."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang = 'de'")
+    clean = docs.join(quality_rules(docs).filter("kept").select("doc_id"), "doc_id").select("doc_id", "text").dropDuplicates(["text"]).orderBy("doc_id").collect()
+    r, long = random.Random(2), " ".join(x.text for x in clean)
+    dull = " ".join(r.choice(["aa", "bb", "cc"]) for _ in range(60_000))
+    got = {x.doc_id: x for x in quality_rules(spark.createDataFrame([(1, long), (2, dull)], DOC)).collect()}
+    assert got[1].n_tokens > 48_000 and got[1].kept and not got[1].rejected_by
+    assert got[2].n_tokens > 48_000 and "entropy" in got[2].rejected_by
+
+
 def expected_ids(docs):
     lib = word_bpe(vocabulary("word_bpe_49k.json")).lib
     return [np.array(e.ids + [1], dtype="<u4") for e in lib.encode_batch([t or "" for _, t in docs], add_special_tokens=False)]

@@ -33,7 +33,11 @@ from ._spark import drop, only, prepare, save
 PARTS = 32  #: of a host, merged on their own first
 MAX_TAGS = 400  #: tags of a stream that wrappers are learned from after folding; longer ones are described by their regions alone
 
-_RAW = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|object|canvas)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+#: Comments and raw-text elements, which run to the page's end if nothing closes them.
+_RAW = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?\]\]>|<(script|style|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+DROPPED = frozenset("noscript template svg iframe select object canvas".split())
+_ANY_DROPPED = re.compile(rf"<(?:{'|'.join(sorted(DROPPED))})\b", re.I)
+_SELF_CLOSED = re.compile(r"(?:[\s\"']|<[a-zA-Z][a-zA-Z0-9-]*)/>$")
 _TAG = re.compile(r"(<(?:/?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*|[!?][^>]*)>)")
 _PARTS = re.compile(r"</?\s*([a-zA-Z][a-zA-Z0-9-]*)")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -67,6 +71,36 @@ def _role(sign: str) -> tuple[bool, bool]:
     return article, wrong
 
 
+def _without_dropped(tokens: list[str]) -> list[str]:
+    """Texts and tags without the elements of DROPPED: those that end themselves, or whose parent ends before them, are empty."""
+    open_: list[tuple[str, int]] = []
+    gone: list[tuple[int, int]] = []
+    for i in range(1, len(tokens), 2):
+        m = _PARTS.match(tokens[i])
+        if not m:
+            continue
+        name = m[1].lower()
+        if tokens[i][1] == "/":
+            at = next((k for k in range(len(open_) - 1, -1, -1) if open_[k][0] == name), -1)
+            if at >= 0:
+                if name in DROPPED:
+                    gone.append((open_[at][1], i))
+                del open_[at:]
+        elif name in DROPPED and not _SELF_CLOSED.search(tokens[i]) or name not in DROPPED and name not in VOID:
+            open_.append((name, i))
+    keep, at = [], 0
+    for first, last in sorted(gone):
+        if first >= at:
+            keep += [*tokens[at : first - 1], tokens[first - 1] + " ", ""]
+            at = last + 1
+    keep += tokens[at:]
+    for i in range(1, len(keep), 2):
+        m = _PARTS.match(keep[i])
+        if m and m[1].lower() in DROPPED:
+            keep[i - 1 : i + 1] = [keep[i - 1] + " ", ""]
+    return keep
+
+
 def slots(page: str) -> tuple[list[str], list[Slot]]:
     """Block tags (``<name>``, ``</name>``, ``#`` for text) of a page in order, and its text slots."""
     stream: list[str] = []
@@ -79,7 +113,9 @@ def slots(page: str) -> tuple[list[str], list[Slot]]:
             _, path, _, _ = stack.pop()
             stream.append(f"</{path.rpartition('/')[2]}>")
 
-    for i, token in enumerate(_TAG.split(_RAW.sub(" ", page))):
+    page = _RAW.sub(" ", page)
+    tokens = _TAG.split(page)
+    for i, token in enumerate(_without_dropped(tokens) if _ANY_DROPPED.search(page) else tokens):
         if not i % 2:
             if token:
                 if slot is None:

@@ -39,6 +39,15 @@ def test_main_text(spark):
     assert W.main_texts(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_unclosed_and_self_closed_elements_keep_what_follows():
+    text = lambda h: " ".join(" ".join("".join(x.text).split()) for x in W.slots(h)[1])
+    assert text('<p>a</p><svg width="1"/><p>b</p><svg><text>no</text></svg><p>c</p>') == "a b c"
+    assert text("<div><object data=x><p>a</p></div><p>b</p><object>no<object>no</object></object><p>c</p>") == "a b c"
+    assert text("<div><select name=s></div><p>a</p><canvas>no</canvas><p>b</p>") == "a b"
+    assert text("<!--><p>a</p><![CDATA[ x><p>b</p><iframe src=y><p>c</p>") == "a b c"
+    assert text("<p>a</p><svg/><p>b</p><script>no") == "a b"
+
+
 def test_alignment_makes_optional_and_repeated_groups():
     fold = lambda h: W.fold(W.slots(h)[0])
     a, b = fold("<div><p>x</p><p>y</p><i>z</i></div>"), fold("<div><h1>t</h1><p>x</p></div>")

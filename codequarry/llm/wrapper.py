@@ -13,8 +13,9 @@ is a wrapper: no task holds all pages of a large host.
 A wrapper's text slots are judged once for the host: those in an article or
 main element are main text, less the parts that are no article by their element
 or class.  Where no page names an article, the host's main region is the part of
-most text that is neither in links nor the same on half of the pages.  A page's text is what
-stands in the main slots of its host's wrapper.
+most text that is neither in links nor the same on half of the different pages.  A page's text is what
+stands in the main slots of its host's wrapper; a page that has no text of its own there (of
+another layout) is judged by its own region of most such text.
 """
 
 from __future__ import annotations
@@ -48,6 +49,8 @@ _BAD_WORDS = re.compile(
     r"(?:^|[\s._-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|header|masthead|footer|foot|side-?bar|aside|cookies?|consent|notices?|gdpr|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|respond|reviews?|replies|widget|toolbar|skip|search|pagination|pager|copyright)(?=$|[\s._-]|\d)",
     re.I,
 )
+_ID = re.compile(r"(?<=\s)id\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+_SERIAL = re.compile(r"[0-9a-f]*\d[0-9a-f]{5,}|\d+", re.I)  #: numbers and long hexadecimal keys
 _SAYS_NOT = re.compile(r"(?:^|(?<=\.))(?:has|no|with|without|is)-[\w-]+", re.I)
 _CLOSES = {"p": frozenset(["p"]), "li": frozenset(["li"]), "tr": frozenset("tr td th".split()), "td": frozenset("td th".split()), "th": frozenset("td th".split()), "dt": frozenset("dt dd".split()), "dd": frozenset("dt dd".split()), "option": frozenset(["option"])}
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -62,6 +65,11 @@ class Slot:
         self.path, self.text, self.link, self.named, self.left_out = path, [], 0, named, left_out
 
 
+def _general_id(m: re.Match) -> str:
+    """An id without what numbers its element, so that post-12 and post-345 are one place."""
+    return _SERIAL.sub("0", m[0])
+
+
 def _role(sign: str) -> tuple[bool, bool]:
     """Whether an element (name.words) is an article, and whether it is no part of one."""
     name, _, words = sign.partition(".")
@@ -157,7 +165,7 @@ def slots(page: str) -> tuple[list[str], list[Slot]]:
             if top not in ("p",):
                 break
         _, path, named, bad = stack[-1]
-        words = re.sub(r"[^\w-]+", ".", " ".join(a or b or c for a, b, c in _NAMES.findall(token)).strip().lower())
+        words = re.sub(r"[^\w-]+", ".", " ".join(a or b or c for a, b, c in _NAMES.findall(_ID.sub(_general_id, token))).strip().lower())
         sign = name + (f".{words}" if words else "")
         is_article, is_wrong = _role(sign)
         stack.append((name, f"{path}/{sign}", named or is_article, bad or is_wrong))
@@ -282,26 +290,34 @@ def _squeeze(text: str) -> str:
     return " ".join(entities.unescape(text).split())
 
 
+def _mark(path: str, text: str) -> int:
+    """What a slot says, and where."""
+    return int.from_bytes(hashlib.blake2b(f"{path}\0{text}".encode(), digest_size=7).digest(), "big")
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Host, folded stream, and of each slot path outside named articles its text: counted later, by host."""
+    """Host, folded stream, and of pages without a named article each different slot's text, and a key of them all: counted later, by host."""
     for batch in batches:
-        hosts, streams, paths = [], [], []
+        hosts, streams, paths, keys = [], [], [], []
         for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
             stream, found = slots(page or "")
             folded = fold(stream)
-            by: dict[str, list[int]] = {}
+            by: dict[tuple[str, int], list[int]] = {}
+            seen: set[str] = set()
             if not any(s.named and not s.left_out for s in found):
                 for s in found:
                     if not s.left_out:
                         text = _squeeze("".join(s.text))
-                        have = by.setdefault(s.path, [0, 0, int.from_bytes(hashlib.blake2b(text.encode(), digest_size=7).digest(), "big")])
+                        have = by.setdefault((s.path, _mark(s.path, text)), [0, 0, int(s.path not in seen)])
+                        seen.add(s.path)
                         have[0] += len(text)
                         have[1] += s.link
             hosts.append(host_of(url))
             streams.append("".join(folded) if len(folded) <= MAX_TAGS else "")
-            paths.append([{"path": p, "text": v[0], "link": v[1], "mark": v[2]} for p, v in by.items()])
-        kind = pa.list_(pa.struct([("path", pa.string()), ("text", pa.int64()), ("link", pa.int64()), ("mark", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(streams, pa.string()), pa.array(paths, kind)], names=["host", "stream", "slots"])
+            paths.append([{"path": p, "text": v[0], "link": v[1], "mark": m, "first": v[2]} for (p, m), v in by.items()])
+            keys.append(hashlib.blake2b(repr([(k, v[0]) for k, v in by.items()]).encode(), digest_size=16).hexdigest())
+        kind = pa.list_(pa.struct([("path", pa.string()), ("text", pa.int64()), ("link", pa.int64()), ("mark", pa.int64()), ("first", pa.int64())]))
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(streams, pa.string()), pa.array(paths, kind), pa.array(keys, pa.string())], names=["host", "stream", "slots", "key"])
 
 
 def _merge(key: str):
@@ -325,15 +341,27 @@ def wrappers(described: DataFrame) -> DataFrame:
 
 
 def regions(described: DataFrame) -> DataFrame:
-    """(host, region): the path of most text that is neither in links nor the same on most pages, for hosts whose pages name no article."""
-    each = described.select("host", F.explode("slots").alias("s")).select("host", "s.*")
-    marks = each.groupBy("host", "path", "mark").agg(F.count(F.lit(1)).alias("n"), F.sum("text").alias("text"), F.sum("link").alias("link"))
-    paths = marks.groupBy("host", "path").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.sum("text").alias("text"), F.sum("link").alias("link"))
-    # A slot that says the same on at least half of 3 pages or more belongs to the template.
-    good = paths.filter("2 * link < text and not (n >= 3 and 2 * most >= n)")
-    parent = F.regexp_replace("path", r"/[^/]*$", "")
-    grouped = good.withColumn("region", parent).groupBy("host", "region").agg(F.sum("text").alias("text"))
-    return grouped.groupBy("host").agg(F.max(F.struct("text", "region")).alias("m")).select("host", F.col("m.region").alias("region"))
+    """(host, region, template), for hosts with pages that name no article.
+
+    template: marks of the slots that say the same on at least half of 3 different pages or more that have their path.
+    region: the path of most text that is neither template nor in links.
+    """
+    pages = described.filter("size(slots) > 0").groupBy("host", "key").agg(F.first("slots").alias("slots"))
+    each = pages.select("host", F.explode("slots").alias("s")).select("host", "s.*")
+    marks = each.groupBy("host", "path", "mark").agg(F.count(F.lit(1)).alias("n"), F.sum("first").alias("first"), F.sum("text").alias("text"), F.sum("link").alias("link"))
+    marks = save(marks, "marks")
+    paths = marks.groupBy("host", "path").agg(F.sum("first").alias("pages"), F.sum("text").alias("text"), F.sum("link").alias("link"))
+    common = marks.filter("n >= 2").select("host", "path", "mark", "n", F.col("text").alias("t"), F.col("link").alias("l"))
+    common = common.join(paths.select("host", "path", "pages"), ["host", "path"]).filter("pages >= 3 and 2 * n >= pages")
+    less = common.groupBy("host", "path").agg(F.sum("t").alias("t"), F.sum("l").alias("l"))
+    own = paths.join(less, ["host", "path"], "left").select("host", "path", F.expr("text - coalesce(t, 0)").alias("text"), F.expr("link - coalesce(l, 0)").alias("link"))
+    good = own.filter("2 * link < text")
+    grouped = good.withColumn("region", F.regexp_replace("path", r"/[^/]*$", "")).groupBy("host", "region").agg(F.sum("text").alias("text"))
+    best = grouped.groupBy("host").agg(F.max(F.struct("text", "region")).alias("m")).select("host", F.col("m.region").alias("region"))
+    said = common.groupBy("host").agg(F.sort_array(F.collect_list("mark")).alias("template"))  # at most twice a page's slots for each path
+    out = save(best.join(said, "host", "full").select("host", "region", "template"), "regions")
+    drop(marks)
+    return out
 
 
 def wrapper_slots(stream: str) -> list[tuple[str, bool, bool]]:
@@ -365,32 +393,46 @@ def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             chosen = [p for p, named in good if named] + [p for p, named in good if not named and _under(p, region)]
             main.append(chosen or [p for p, _ in good])
             every.append([p for p, _, _ in found])
-        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("region"), pa.array(main, pa.list_(pa.string())), pa.array(every, pa.list_(pa.string()))], names=["host", "region", "main", "every"])
+        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("region"), pa.array(main, pa.list_(pa.string())), pa.array(every, pa.list_(pa.string())), batch.column("template")], names=["host", "region", "main", "every", "template"])
+
+
+def _own_region(found: list[Slot], template: frozenset[int]) -> str | None:
+    """The region of a page's most text that is neither template nor in links; None if it has no such text."""
+    size: dict[str, int] = {}
+    for s, text in ((s, _squeeze("".join(s.text))) for s in found if not s.left_out):
+        if 2 * s.link < len(text) and _mark(s.path, text) not in template:
+            at = s.path.rpartition("/")[0]
+            size[at] = size.get(at, 0) + len(text)
+    return max(size, key=lambda k: (size[k], k)) if size else None
 
 
-def main_text(page: str | None, main: frozenset[str], every: frozenset[str], region: str | None) -> str:
+def main_text(page: str | None, main: frozenset[str], every: frozenset[str], region: str | None, template: frozenset[int] = frozenset()) -> str:
     """Main text of a page: the text in its wrapper's main slots.
 
     An article that the page names comes before other slots.  A slot that the wrapper lacks (of a
-    stream it wasn't learned from) is judged by its own elements.
+    stream it wasn't learned from) is judged by its own elements.  If what is left says nothing but
+    template and links, the page's own region counts instead.
     """
     _, found = slots(page or "")
     good = [s for s in found if (s.path in main if s.path in every else not s.left_out and (s.named or _under(s.path, region) or not main))]
     if any(s.named for s in good):
         good = [s for s in good if s.named]
+    elif _own_region(good, template) is None and (own := _own_region(found, template)) is not None:
+        good = [s for s in found if not s.left_out and _under(s.path, own)]
     return " ".join(t for t in (_squeeze("".join(s.text)) for s in good) if t)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[tuple, tuple[frozenset[str], frozenset[str]]] = {}
+    known: dict[tuple, tuple[frozenset, frozenset, frozenset]] = {}
     for batch in batches:
         texts = []
-        for page, main, every, region in zip(*(batch.column(c).to_pylist() for c in ("html", "main", "every", "region")), strict=True):
-            key = (tuple(main or ()), tuple(every or ()))
+        for page, main, every, region, template in zip(*(batch.column(c).to_pylist() for c in ("html", "main", "every", "region", "template")), strict=True):
+            key = (tuple(main or ()), tuple(every or ()), tuple(template or ()))
             if key not in known:
                 known.clear()
-                known[key] = (frozenset(key[0]), frozenset(key[1]))
-            texts.append(main_text(page, *known[key], region))
+                known[key] = (frozenset(key[0]), frozenset(key[1]), frozenset(key[2]))
+            main, every, template = known[key]
+            texts.append(main_text(page, main, every, region, template))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
@@ -405,9 +447,10 @@ def main_texts(pages: DataFrame) -> DataFrame:
     """
     prepare(pages.sparkSession)
     pages = only(pages, ("page_id", "bigint"), ("url", "string"), ("html", "string"))
-    described = save(pages.select("url", "html").mapInArrow(_describe, "host string, stream string, slots array<struct<path: string, text: bigint, link: bigint, mark: bigint>>"), "described")
-    hosts = wrappers(described).join(regions(described), "host", "full").select("host", "stream", "region")
-    hosts = save(hosts.mapInArrow(_choose, "host string, region string, main array<string>, every array<string>"), "hosts")
-    drop(described)
+    described = save(pages.select("url", "html").mapInArrow(_describe, "host string, stream string, slots array<struct<path: string, text: bigint, link: bigint, mark: bigint, first: bigint>>, key string"), "described")
+    places = regions(described)
+    hosts = wrappers(described).join(places, "host", "full").select("host", "stream", "region", "template")
+    hosts = save(hosts.mapInArrow(_choose, "host string, region string, main array<string>, every array<string>, template array<bigint>"), "hosts")
+    drop(described, places)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)", 1))
-    return pages.withColumn("host", host).join(hosts, "host", "left").select("page_id", "url", "html", "main", "every", "region").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return pages.withColumn("host", host).join(hosts, "host", "left").select("page_id", "url", "html", "main", "every", "region", "template").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

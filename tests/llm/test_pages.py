@@ -48,6 +48,25 @@ def test_unclosed_and_self_closed_elements_keep_what_follows():
     assert text("<p>a</p><svg/><p>b</p><script>no") == "a b"
 
 
+def test_main_text_of_two_layouts_and_numbered_containers(spark):
+    long = lambda i, k: " ".join(f"word{i}x{j}" for j in range(k))
+    rows, want = [], {}
+    for i in range(6):  # the smaller layout's texts are shorter
+        want[i] = long(i, 40 if i % 3 else 12)
+        rows.append((i, f"http://two.com/{i}", f"<body><div class={'post' if i % 3 else 'story'}><p>{want[i]}</p></div><div class=low>same foot of all</div></body>"))
+    for i in range(10, 14):  # a constant first paragraph, and containers by number
+        want[i] = "Our house style. " + long(i, i)
+        rows.append((i, f"http://ids.com/{i}", f'<body><div id="post-{i * 37}"><p>Our house style.</p><p>{long(i, i)}</p></div><div class=low><p>same foot of all these pages, which is rather longer than some posts are</p></div></body>'))
+    for i in range(20, 24):  # half of the pages are copies of one
+        want[i] = long(max(i, 21), 20)
+        rows.append((i, f"http://copies.com/{i}", f"<body><div class=post><p>{want[i]}</p></div><div class=low><i>few</i></div></body>"))
+    for i in range(30, 33):  # each page has a container of its own name
+        want[i] = long(i, i)
+        rows.append((i, f"http://slugs.com/{i}", f"<body><div id={'abcdefg'[i - 30] * 4}><p>{want[i]}</p></div></body>"))
+    got = {r.page_id: r.text for r in W.main_texts(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == want
+
+
 def test_alignment_makes_optional_and_repeated_groups():
     fold = lambda h: W.fold(W.slots(h)[0])
     a, b = fold("<div><p>x</p><p>y</p><i>z</i></div>"), fold("<div><h1>t</h1><p>x</p></div>")

@@ -1,6 +1,6 @@
 """Language identification with spans (operator 2).
 
-A word's script (from its bytes' ranges) narrows the languages to those that
+A word's script (from its lead bytes, or its code points where those don't tell) narrows the languages to those that
 were seen in that script.  Each of those scores the word by the log
 probabilities of its byte trigrams, word ends included.  Over a text's words a
 Viterbi path with a switching penalty picks a language per word; equal
@@ -18,7 +18,9 @@ size is bounded by the number of languages.  It is learned from at most
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ._spark import held_out, only, prepare
-from ._words import BLANK_LOWER, SCRIPT_OF, Words, spread, words
+from ._words import BLANK_LOWER, LEADS, SCRIPT_OF, Words, spread, words
 
 TRIGRAMS = 1 << 16
 PENALTY = 12.0  #: nats, for a change of language between two words
@@ -34,6 +36,37 @@ WEIGHT = 0.5  #: of a word's log probability; trigrams overlap and so count twic
 LEAST_SHARE = 0.01  #: of a language's letters, for a script to be one of its own
 MOST_ROWS = 30_000
 _ASCII_LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
+#: Lead bytes that tell no script, or not one alone (0xD6: Armenian and Hebrew).
+_BY_CODE = (SCRIPT_OF == 0) & (np.arange(256) >= 0xC3)
+_BY_CODE[0xD6] = True
+_SCRIPT_BASE = SCRIPT_OF.copy()
+_SCRIPT_BASE[0xD6] = 0
+
+
+@lru_cache(1)
+def _script_of_code() -> np.ndarray:
+    """Script number of each letter by code point, 0 for signs: by the first word of its Unicode name, those of LEADS by their numbers there."""
+    known = {x.upper(): i for i, x in enumerate(LEADS, 1)}
+    known |= dict.fromkeys(("HIRAGANA", "KATAKANA", "BOPOMOFO", "HALFWIDTH", "KANGXI"), known["CJK"]) | {"FULLWIDTH": known["LATIN"]}
+    out = np.zeros(0x110000, dtype=np.uint8)
+    for c in range(0x250, 0x32400):
+        if not 0x3000 <= c < 0xE000 and chr(c).isalpha():
+            name = unicodedata.name(chr(c), "OTHER").split(" ")[0]
+            out[c] = known.setdefault(name, min(len(set(known.values())) + 1, 255))
+    return out
+
+
+def _scripts_of_bytes(data: np.ndarray) -> np.ndarray:
+    """Script of the character that starts at each byte."""
+    out = _SCRIPT_BASE[data]
+    at = np.flatnonzero(_BY_CODE[data])
+    if len(at):
+        b = np.append(data, np.zeros(3, np.uint8)).astype(np.uint32)
+        x, y, z, u = (b[at + k] for k in range(4))
+        y, z, u = y & 63, z & 63, u & 63
+        code = np.where(x < 0xE0, (x & 31) << 6 | y, np.where(x < 0xF0, (x & 15) << 12 | y << 6 | z, (x & 7) << 18 | y << 12 | z << 6 | u))
+        out[at] = _script_of_code()[np.minimum(code, 0x10FFFF)]
+    return out
 
 
 def _distinct(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,7 +90,7 @@ def _scripts(w: Words, which: np.ndarray) -> np.ndarray:
     n = w.end[which] - w.start[which]
     if not len(n):
         return np.zeros(0, np.uint8)
-    return np.maximum.reduceat(SCRIPT_OF[w.data[spread(w.start[which], n)]], np.concatenate(([0], np.cumsum(n)[:-1])))
+    return np.maximum.reduceat(_scripts_of_bytes(w.data[spread(w.start[which], n)]), np.concatenate(([0], np.cumsum(n)[:-1])))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,10 +128,11 @@ class LanguageModel:
         self.log = (WEIGHT * np.log(grams / grams.sum(axis=0))).astype(np.float32)
         scripts[0] = 0
         self.written = scripts / np.maximum(scripts.sum(axis=0), 1) >= LEAST_SHARE
-        self.written[~self.written.any(axis=1)] = True  # a script of none narrows nothing
+        self.known = self.written.any(axis=1)
+        self.written[~self.known] = True  # a script of none narrows nothing
 
     def scores(self, w: Words) -> np.ndarray:
-        """float64[words, languages]; 0 for a word without letters, very low outside the language's scripts."""
+        """float64[words, languages]; 0 for a word without letters of a learned script, very low outside the language's scripts."""
         first, back, _ = _distinct(w)
         code, n = _trigrams(w, first)
         script = _scripts(w, first)
@@ -106,7 +140,7 @@ class LanguageModel:
             return np.zeros((0, len(self.langs)))
         s = np.add.reduceat(self.log[code], np.concatenate(([0], np.cumsum(n)[:-1])), axis=0).astype(np.float64)
         s[~self.written[script]] = -1e3
-        s[script == 0] = 0
+        s[~self.known[script]] = 0
         s -= s.max(axis=1, keepdims=True)
         return s[back]
 
@@ -175,7 +209,7 @@ def _predict(model):
             for w in words(batch.column("text"), BLANK_LOWER):
                 k = len(m.langs)
                 path = best_path(m.scores(w), w.off) if k else np.zeros(len(w.hash), np.int64)
-                letters = np.where(_scripts(w, np.arange(len(w.hash))) > 0, w.end - w.start, 0)
+                letters = np.where(m.known[_scripts(w, np.arange(len(w.hash)))] if k else False, w.end - w.start, 0)
                 share = np.bincount(w.doc() * max(k, 1) + path, weights=letters, minlength=len(w) * max(k, 1)).reshape(len(w), -1)
                 total = share.sum(axis=1)
                 pred = np.where(total > 0, share.argmax(axis=1), m.common) if k else np.full(len(w), -1)

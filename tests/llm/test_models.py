@@ -34,6 +34,16 @@ def test_mixed_text_has_spans_and_odd_texts_are_und(spark):
     assert sorted(r.lang_pred for r in got if r.doc_id == 6) == ["de", "en"]
 
 
+def test_every_script_can_be_learned(spark):
+    say = {"ka": "ეს არის ქართული ტექსტი", "am": "ይህ የአማርኛ ጽሑፍ ነው", "km": "នេះជា អត្ថបទ ខ្មែរ", "dv": "މިއީ ދިވެހި ލިޔުމެކެވެ", "hy": "սա հայերեն տեքստ է և", "he": "זה טקסט בעברית", "ff": "𞤀𞤣𞤤𞤢𞤥 𞤆𞤵𞤤𞤢𞤪", "vi": "ở ổ ấy", "en": "“this” is — an English text"}
+    rows = [(1000 * k + i, x, t) for k, (x, t) in enumerate(say.items()) for i in range(9 if x == "en" else 3)]
+    rows = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    assert {r[1] for r in rows} == set(say)
+    got = L.identify_languages(spark.createDataFrame([(d, t, x) for d, x, t in rows], "doc_id long, text string, lang string")).collect()
+    want = {d: x for d, x, _ in rows}
+    assert all(r.lang_pred == want[r.doc_id] and r.score == 1 for r in got)
+
+
 def test_best_path_is_exact():
     r = np.random.default_rng(1)
     for _ in range(40):

@@ -12,8 +12,8 @@ best path never switches (each stay elsewhere would have to win back at least ha
 of its switches).  Only other texts are stepped through, side by side.
 
 The model is a table of TRIGRAMS hashed trigram counts per language, so its
-size is bounded by the number of languages.  It is learned from at most
-``most_rows`` labelled rows, drawn by a hash of doc_id.
+size is bounded by the number of languages.  It is learned from about
+``most_rows`` labelled rows at most, of each language all or as many as an equal bound allows, drawn by a hash of doc_id.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ PENALTY = 12.0  #: nats, for a change of language between two words
 WEIGHT = 0.5  #: of a word's log probability; trigrams overlap and so count twice
 LEAST_SHARE = 0.01  #: of a language's letters, for a script to be one of its own
 MOST_ROWS = 30_000
+LEAST_ROWS = 100  #: of a language, below which the bound never goes
 _ASCII_LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
 #: Lead bytes that tell no script, or not one alone (0xD6: Armenian and Hebrew).
 _BY_CODE = (SCRIPT_OF == 0) & (np.arange(256) >= 0xC3)
@@ -233,14 +234,29 @@ def _predict(model):
     return run
 
 
+def _bound(labelled: dict[str, int], most_rows: int) -> int:
+    """The rows of a language to draw at most, so that all draws sum to most_rows at most."""
+    left, sizes = most_rows, sorted(labelled.values())
+    for i, n in enumerate(sizes):
+        share = left // (len(sizes) - i)
+        if n > share:
+            return max(share, LEAST_ROWS)
+        left -= n
+    return max(sizes, default=0)
+
+
 def learn_languages(docs: DataFrame, most_rows: int = MOST_ROWS) -> LanguageModel:
-    """From the text and lang of rows that aren't held out and have both; of more than ``most_rows``, a draw by hash of about that many."""
+    """From the text and lang of rows that aren't held out and have both; of more than ``most_rows``, a draw by hash of about that many, with all rows of rare languages."""
     prepare(docs.sparkSession)
     rows = only(docs, ("doc_id", "bigint"), ("text", "string"), ("lang", "string")).filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     labelled = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
     n = sum(labelled.values())
     if n > most_rows:
-        rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < most_rows)
+        most = _bound(labelled, most_rows)
+        large = [F.lit(v) for x, c in sorted(labelled.items()) if c > most for v in (x, c)]
+        if large:
+            of = F.coalesce(F.try_element_at(F.create_map(*large), F.col("lang")), F.lit(1))
+            rows = rows.filter(F.pmod(F.xxhash64("doc_id"), of) < most)
     counts = rows.select("text", "lang").mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     return LanguageModel(counts.collect(), labelled)  # at most TRIGRAMS + 256 rows for each language
 

@@ -44,6 +44,15 @@ def test_every_script_can_be_learned(spark):
     assert all(r.lang_pred == want[r.doc_id] and r.score == 1 for r in got)
 
 
+def test_a_draw_keeps_rare_languages(spark):
+    rows = [(i, f"common words number {i}", "en") for i in range(2000)] + [(5000 + 10 * k + i, f"rare{k} saying", f"r{k}") for k in range(8) for i in range(10)]
+    model = L.learn_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_rows=300)
+    assert model.langs == sorted(["en", *(f"r{k}" for k in range(8))])
+    assert L._bound({"a": 2000, "b": 10}, 300) == 290 and L._bound({"a": 5, "b": 7}, 300) == 7
+    plain = [(i, "x y", x) for i, x in enumerate(["en"] * 3000 + ["zz"])]
+    assert "zz" in L.learn_languages(spark.createDataFrame([(i + 1 + (i == 3000), t, x) for i, t, x in plain], "doc_id long, text string, lang string"), most_rows=150).langs
+
+
 def test_best_path_is_exact():
     r = np.random.default_rng(1)
     for _ in range(40):

@@ -25,11 +25,13 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one set here if that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or, in local mode alone, one set here if that is unset (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + os.path.join(tempfile.gettempdir(), f"codequarry-{os.getuid()}")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -51,15 +53,46 @@ def save(df: DataFrame, name: str, **write) -> DataFrame:
     return out
 
 
-def drop(*tables: DataFrame | str) -> None:
-    """Delete scratch tables that nothing reads any more."""
+def _path(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def drop(*tables: DataFrame | str, anyway: SparkSession | None = None) -> None:
+    """Delete scratch tables that nothing reads any more (anyway: also a path that isn't scratch, by this session)."""
     for t in tables:
         path = t if isinstance(t, str) else getattr(t, "scratch_path", None)
-        spark = _left.pop(path, None)
+        spark = _left.pop(path, None) or anyway
         if path and spark:
-            jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
+            fs, at = _path(spark, path)
+            fs.delete(at, True)
+
+
+def list_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder; none if it isn't there."""
+    fs, at = _path(spark, folder)
+    return [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, whole or not at all; an error if it is there."""
+    fs, at = _path(spark, path)
+    _, aside = _path(spark, f"{path}.{uuid.uuid4().hex}.tmp")
+    out = fs.create(aside, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if fs.exists(at) or not fs.rename(aside, at):
+        fs.delete(aside, False)
+        raise FileExistsError(path)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, at = _path(spark, path)
+    stream = fs.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 @atexit.register

@@ -2,10 +2,12 @@
 
 import random
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import DataFrame
 
 from codequarry.llm import superminhash as M
 from codequarry.llm._tokens import vocabulary, word_bpe
@@ -93,18 +95,78 @@ def test_substring(spark, gram):
     assert rows(got) == sorted(cut(docs), key=str)
 
 
-def test_substring_in_batches_equals_one(spark):
+PICK = ("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@pytest.mark.parametrize("order", ["falling", "mixed"])
+def test_substring_in_batches_equals_one(spark, order, tmp_path):
+    """Whatever the order, over a session's end, before and after compaction."""
     docs = [d for d in some_docs(4, 60) if d[0] is not None]
     df = spark.createDataFrame(docs, DOC)
+    batches = [df.filter("doc_id < 20"), df.filter("doc_id between 20 and 39"), df.filter("doc_id between 40 and 69"), df.filter("doc_id >= 70")]
+    batches = {"falling": batches[::-1], "mixed": [df.filter(f"doc_id % 3 = {i}") for i in range(3)]}[order]
+    index = SubstringIndex(spark, f"file://{tmp_path}/index", fanout=3)
+    runs = []
+    for i, b in enumerate(batches):
+        runs.append(index.add(b))
+        if i == 1:  # as in a new session
+            index.close()
+            index = SubstringIndex(spark, f"file://{tmp_path}/index")
+            assert index.fanout == 3 and len(index.runs) == 2
+    want = sorted(cut(docs), key=str)
+
+    def judged():
+        cuts = [index.duplicates(b, df, run) for b, run in zip(batches, runs, strict=True)]
+        return rows(apply_cuts(df, reduce(DataFrame.unionByName, cuts)).select(*PICK))
+
+    assert judged() == want
+    index.compact(whole=True)
+    assert len(index.runs) == 1 and judged() == want
+    index.destroy()
+
+
+def test_substring_judges_the_batch_alone(spark):
+    words_ = [f"w{i}" for i in range(200)]
+    docs = {1: words_[:120], 2: words_[:80] + ["x"] * 60, 9: words_[20:140] + ["y"] * 70}
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], DOC)
+    history, batch = df.filter("doc_id < 9"), df.filter("doc_id = 9")
+    index = SubstringIndex(spark)
+    first = index.add(history)
+    run = index.add(batch)
+    cuts = index.duplicates(batch, history, run)
+    assert {r.doc_id for r in cuts.collect()} == {9}
+    assert apply_cuts(batch, cuts).first().n_removed == 100
+    with pytest.raises(ValueError):
+        index.duplicates(batch, None, run)
+    assert {r.doc_id for r in index.duplicates(history, batch, first).collect()} == {2}
+    index.destroy()
+
+
+def test_a_frequent_fingerprint_is_spread_and_history_is_not_shuffled(spark):
+    """A line within many different contexts, and one passage in many documents."""
+    r = random.Random(3)
+    line, passage = [f"l{i}" for i in range(12)], [f"p{i}" for i in range(70)]
+    docs = [(i, " ".join([r.choice(VOCAB) for _ in range(45)] + line + [r.choice(VOCAB) for _ in range(45)] + (passage if i % 2 else []))) for i in range(150)]
+    df = spark.createDataFrame(docs, DOC).coalesce(1)
+    got = cut_duplicates(df, batches=4).select(*PICK)
+    assert rows(got) == sorted(cut(docs), key=str)
     index = SubstringIndex(spark)
-    low, high = df.filter("doc_id < 30"), df.filter("doc_id >= 30")
-    index.add(low)
-    index.add(high)
-    first = index.duplicates(df, df)
-    index.compact()
-    assert len(index.runs) == 1
-    pick = lambda c: rows(apply_cuts(df, c).select("doc_id", "n_words", "n_removed", "kept_sha256"))
-    assert pick(first) == pick(index.duplicates(df, df)) == sorted(cut(docs), key=str)
+    index.add(df.filter("doc_id < 75"))
+    run = index.add(df.filter("doc_id >= 75"))
+    assert index._rows(1, *index._live()).select("b").distinct().count() > 20
+    own, old = (index._rows(0, r["id"]) for r in index.runs[::-1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = own.select("b").join(old.select("b", "span"), "b")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and " Sort " not in plan and index._find is not None and run
+    index.destroy()
+
+
+def test_cut_text_keeps_lines(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = [(1, passage), (2, f" a\n\tb  {passage}\n\nc\td \n"), (3, f"e\n{passage}"), (4, "x\ny")]
+    got = {r.doc_id: r.kept_text for r in cut_duplicates(spark.createDataFrame(docs, DOC)).collect()}
+    assert got == {1: passage, 2: " a\n\tb  c\td \n", 3: "e\n", 4: "x\ny"}
 
 
 @pytest.mark.parametrize("most", [500_000, 0])

@@ -62,10 +62,10 @@ def _item_windows(window: int, gram: int):
 class _Known:
     """The items' windows, sorted for lookup: fingerprints with a bit map before them, and items by (fingerprint, hash)."""
 
-    def __init__(self, fp: np.ndarray, h: np.ndarray, item: list[str | None], n: np.ndarray) -> None:
+    def __init__(self, fp: np.ndarray, h: np.ndarray, item: list[str | None], n: np.ndarray, window: int) -> None:
         order = np.lexsort((h, fp))
         self.fp, self.h, self.item = fp[order], h[order], [item[i] for i in order]
-        self.short = sorted({int(x) for x in n if x < WINDOW})
+        self.short = sorted({int(x) for x in n if x < window})
         self.bits = np.zeros(1 << 20, dtype=bool)
         self.bits[self.fp & np.uint64((1 << 20) - 1)] = True
 
@@ -186,7 +186,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     if n <= most_broadcast:
         got = known.toArrow()
         fp, h = (np.asarray(got.column(c)).view(np.uint64) for c in ("fp", "h"))
-        b = spark.sparkContext.broadcast(_Known(fp, h, got.column("item_id").to_pylist(), np.asarray(got.column("n"))))
+        b = spark.sparkContext.broadcast(_Known(fp, h, got.column("item_id").to_pylist(), np.asarray(got.column("n")), window))
         drop(known)
         out = docs.mapInArrow(_by_broadcast(b, window, gram), _OUT + more)
     else:

@@ -14,7 +14,6 @@ import numpy as np
 
 from ._words import Words, hash_runs, spread
 
-CACHE = 200_000  #: entries of a sentencepiece cache, after which it starts anew
 
 
 def vocabulary(name: str) -> str:
@@ -232,8 +231,41 @@ class WordBpe:
         return out, off
 
 
-class Pieces(dict):
-    """Word (UTF-8) -> sentencepiece ids as uint16 bytes, of the word on its own; emptied when it has CACHE entries."""
+class Remembered:
+    """An encoder of single words with a memory of the first KNOWN different ones; each word of a chunk is encoded once."""
+
+    kind = np.dtype("<u2")
+
+    def __init__(self) -> None:
+        self.known = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind)  # sorted hashes, offsets, counts, ids
+
+    def some(self, new: list[str]) -> list[list[int]]:
+        raise NotImplementedError
+
+    def encode(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words of a chunk, one after another, and how many each word has."""
+        if not len(w.hash):
+            return np.zeros(0, self.kind), np.zeros(0, np.int64)
+        h, one, back = np.unique(w.hash, return_index=True, return_inverse=True)
+        known, at, have, flat = self.known
+        spot = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+        old = known[spot] == h if len(known) else np.zeros(len(h), bool)
+        new = np.flatnonzero(~old)
+        data = w.data.tobytes()
+        made = self.some([data[a:b].decode() for a, b in zip(w.start[one[new]].tolist(), w.end[one[new]].tolist(), strict=True)])
+        count = np.array([len(x) for x in made], dtype=np.int64)
+        n, off = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+        n[old], off[old] = have[spot[old]], at[spot[old]]
+        n[new], off[new] = count, len(flat) + np.cumsum(count) - count
+        flat = np.concatenate([flat, np.fromiter((i for x in made for i in x), self.kind, int(count.sum()))])
+        if len(known) < KNOWN and len(new):
+            order = np.argsort(merged := np.concatenate([known, h[new]]))
+            self.known = merged[order], np.concatenate([at, off[new]])[order], np.concatenate([have, count])[order], flat
+        return flat[spread(off[back], n[back])], n[back]
+
+
+class Pieces(Remembered):
+    """A sentencepiece model of under 65,536 ids, of words on their own."""
 
     def __init__(self, path: str) -> None:
         import sentencepiece
@@ -242,11 +274,26 @@ class Pieces(dict):
         self.lib = sentencepiece.SentencePieceProcessor(model_file=path)
         self.is_byte = np.array([self.lib.is_byte(i) for i in range(self.lib.vocab_size())])
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = ids = np.array(self.lib.encode(word.decode()), dtype="<u2").tobytes()
-        return ids
+    def some(self, new: list[str]) -> list[list[int]]:
+        return self.lib.encode(new, num_threads=1) if new else []
+
+
+class ByteLevel(Remembered):
+    """A byte-level vocabulary by a file of ranks, of words with a blank before them."""
+
+    def __init__(self, path: str) -> None:
+        import base64
+
+        import public_tokenizers
+        import tiktoken
+
+        super().__init__()
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.lib = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def some(self, new: list[str]) -> list[list[int]]:
+        return [self.lib.encode_ordinary(f" {x}") for x in new]
 
 
 @lru_cache(maxsize=4)
@@ -257,3 +304,8 @@ def word_bpe(path: str) -> WordBpe:
 @lru_cache(maxsize=4)
 def pieces(path: str) -> Pieces:
     return Pieces(path)
+
+
+@lru_cache(maxsize=4)
+def byte_level(path: str) -> ByteLevel:
+    return ByteLevel(path)

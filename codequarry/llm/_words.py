@@ -8,8 +8,10 @@ memory follows the longest document, never the batch.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -164,10 +166,50 @@ def windows(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-#: UTF-8 lead bytes of scripts (fixed by Unicode's blocks); letters of ASCII count as Latin.
-LEADS = {"latin": [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC3, 0xCA)], "greek": [0xCE, 0xCF], "cyrillic": [*range(0xD0, 0xD4)], "hebrew": [0xD6, 0xD7], "arabic": [*range(0xD8, 0xDC)], "indic": [0xE0], "cjk": [*range(0xE3, 0xEA)], "hangul": [*range(0xEA, 0xEE)]}
-SCRIPTS = [*LEADS, "other"]
-#: Byte -> number of its script from 1 on (the later one counts in a mixed word), 0 for none.
-SCRIPT_OF = np.zeros(256, dtype=np.uint8)
-for _n, _leads in enumerate(LEADS.values(), 1):
-    SCRIPT_OF[_leads] = _n
+#: UTF-8 lead bytes whose characters are of one script (fixed by Unicode's blocks); letters of ASCII count as Latin.
+_LEADS = {
+    "latin": [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC3, 0xCA)], "greek": [0xCE, 0xCF], "cyrillic": [*range(0xD0, 0xD4)],
+    "hebrew": [0xD7], "arabic": [*range(0xD8, 0xDC)], "han": [*range(0xE4, 0xEA)], "hangul": [0xEB, 0xEC], "kana": [],
+}
+_BY_LEAD = np.zeros(256, dtype=np.uint8)
+for _n, _bytes in enumerate(_LEADS.values(), 1):
+    _BY_LEAD[_bytes] = _n
+#: Lead bytes that tell no script alone: the code point is looked up.
+_BY_CODE = (_BY_LEAD == 0) & (np.arange(256) >= 0xC3)
+
+
+@lru_cache(1)
+def _scripts() -> tuple[np.ndarray, list[str]]:
+    """Script number of each letter by code point (0: no letter), and the scripts' names from number 1 on.
+
+    A script is the first word of a letter's Unicode name; no letter is without one.
+    """
+    known = {x.upper(): i for i, x in enumerate(_LEADS, 1)}
+    number = known | dict.fromkeys(("HIRAGANA", "KATAKANA", "HALFWIDTH"), known["KANA"]) | dict.fromkeys(("CJK", "KANGXI", "IDEOGRAPHIC", "BOPOMOFO"), known["HAN"])
+    number["FULLWIDTH"] = known["LATIN"]
+    names, out = [*_LEADS], np.zeros(0x110000, dtype=np.uint8)
+    for c in [*range(0x250, 0x4000), *range(0xA000, 0xAC00), *range(0xD000, 0x32400)]:
+        if not 0xD800 <= c < 0xE000 and chr(c).isalpha():
+            name = unicodedata.name(chr(c), "OTHER").split(" ")[0]
+            if name not in number:
+                number[name] = min(len(names) + 1, 255)
+                names = [*names, name.lower()][:255]
+            out[c] = number[name]
+    return out, names
+
+
+def script_names() -> list[str]:
+    return _scripts()[1]
+
+
+def scripts_of_bytes(data: np.ndarray) -> np.ndarray:
+    """Script number of the character that starts at each byte; 0 where none does, or it is no letter."""
+    out = _BY_LEAD[data]
+    at = np.flatnonzero(_BY_CODE[data])
+    if len(at):
+        b = np.append(data, np.zeros(3, np.uint8)).astype(np.uint32)
+        x, y, z, u = (b[at + k] for k in range(4))
+        y, z, u = y & 63, z & 63, u & 63
+        code = np.where(x < 0xE0, (x & 31) << 6 | y, np.where(x < 0xF0, (x & 15) << 12 | y << 6 | z, (x & 7) << 18 | y << 12 | z << 6 | u))
+        out[at] = _scripts()[0][np.minimum(code, 0x10FFFF)]
+    return out

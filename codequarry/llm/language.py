@@ -1,6 +1,6 @@
 """Language identification with spans (operator 2).
 
-A word's script (from its lead bytes, or its code points where those don't tell) narrows the languages to those that
+A word's script (by its letters' code points) narrows the languages to those that
 were seen in that script.  Each of those scores the word by the log
 probabilities of its byte trigrams, word ends included.  Over a text's words a
 Viterbi path with a switching penalty picks a language per word; equal
@@ -18,17 +18,15 @@ size is bounded by the number of languages.  It is learned from about
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import held_out, only, prepare
-from ._words import BLANK_LOWER, LEADS, SCRIPT_OF, Words, spread, words
+from ._words import BLANK_LOWER, Words, scripts_of_bytes, spread, words
 
 TRIGRAMS = 1 << 16
 PENALTY = 12.0  #: nats, for a change of language between two words
@@ -37,37 +35,6 @@ LEAST_SHARE = 0.01  #: of a language's letters, for a script to be one of its ow
 MOST_ROWS = 30_000
 LEAST_ROWS = 100  #: of a language, below which the bound never goes
 _ASCII_LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
-#: Lead bytes that tell no script, or not one alone (0xD6: Armenian and Hebrew).
-_BY_CODE = (SCRIPT_OF == 0) & (np.arange(256) >= 0xC3)
-_BY_CODE[0xD6] = True
-_SCRIPT_BASE = SCRIPT_OF.copy()
-_SCRIPT_BASE[0xD6] = 0
-
-
-@lru_cache(1)
-def _script_of_code() -> np.ndarray:
-    """Script number of each letter by code point, 0 for signs: by the first word of its Unicode name, those of LEADS by their numbers there."""
-    known = {x.upper(): i for i, x in enumerate(LEADS, 1)}
-    known |= dict.fromkeys(("HIRAGANA", "KATAKANA", "BOPOMOFO", "HALFWIDTH", "KANGXI"), known["CJK"]) | {"FULLWIDTH": known["LATIN"]}
-    out = np.zeros(0x110000, dtype=np.uint8)
-    for c in range(0x250, 0x32400):
-        if not 0x3000 <= c < 0xE000 and chr(c).isalpha():
-            name = unicodedata.name(chr(c), "OTHER").split(" ")[0]
-            out[c] = known.setdefault(name, min(len(set(known.values())) + 1, 255))
-    return out
-
-
-def _scripts_of_bytes(data: np.ndarray) -> np.ndarray:
-    """Script of the character that starts at each byte."""
-    out = _SCRIPT_BASE[data]
-    at = np.flatnonzero(_BY_CODE[data])
-    if len(at):
-        b = np.append(data, np.zeros(3, np.uint8)).astype(np.uint32)
-        x, y, z, u = (b[at + k] for k in range(4))
-        y, z, u = y & 63, z & 63, u & 63
-        code = np.where(x < 0xE0, (x & 31) << 6 | y, np.where(x < 0xF0, (x & 15) << 12 | y << 6 | z, (x & 7) << 18 | y << 12 | z << 6 | u))
-        out[at] = _script_of_code()[np.minimum(code, 0x10FFFF)]
-    return out
 
 
 def _distinct(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,7 +58,7 @@ def _scripts(w: Words, which: np.ndarray) -> np.ndarray:
     n = w.end[which] - w.start[which]
     if not len(n):
         return np.zeros(0, np.uint8)
-    return np.maximum.reduceat(_scripts_of_bytes(w.data[spread(w.start[which], n)]), np.concatenate(([0], np.cumsum(n)[:-1])))
+    return np.maximum.reduceat(scripts_of_bytes(w.data[spread(w.start[which], n)]), np.concatenate(([0], np.cumsum(n)[:-1])))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,13 +85,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class LanguageModel:
     """Log probability of each trigram in each language, and the scripts each language is written in."""
 
-    def __init__(self, rows: list[Row], labelled: dict[str, int]) -> None:
-        self.langs = sorted({r.lang for r in rows})
+    def __init__(self, rows: pa.Table, labelled: dict[str, int]) -> None:
+        lang = rows.column("lang").to_pylist()
+        self.langs = sorted(set(lang))
         self.common = int(np.argmax([labelled.get(x, 0) for x in self.langs])) if self.langs else -1
         counts = np.zeros((TRIGRAMS + 256, len(self.langs)))
         place = {x: i for i, x in enumerate(self.langs)}
-        for r in rows:
-            counts[r.bucket, place[r.lang]] = r.n
+        counts[np.asarray(rows.column("bucket")), [place[x] for x in lang]] = np.asarray(rows.column("n"))
         grams, scripts = counts[:TRIGRAMS] + 0.5, counts[TRIGRAMS:]
         self.log = (WEIGHT * np.log(grams / grams.sum(axis=0))).astype(np.float32)
         scripts[0] = 0
@@ -218,7 +185,7 @@ def _predict(model):
                 ascii_ = np.concatenate(([0], np.cumsum(_ASCII_LETTER[w.data])))
                 first = np.append(w.start, len(w.data))[w.off[:-1]]
                 last = np.where(np.diff(w.off) > 0, np.append(w.end, 0)[w.off[1:] - 1], first)
-                for i in np.flatnonzero(ascii_[last] == ascii_[first]):  # lead bytes don't tell all letters from signs: ask Unicode
+                for i in np.flatnonzero(ascii_[last] == ascii_[first]):  # no letter of ASCII: ask Unicode for others
                     if not any(map(str.isalpha, w.text(i).decode())):
                         pred[i], score[i] = -1, 0.0
                 doc = w.doc()
@@ -258,7 +225,7 @@ def learn_languages(docs: DataFrame, most_rows: int = MOST_ROWS) -> LanguageMode
             of = F.coalesce(F.try_element_at(F.create_map(*large), F.col("lang")), F.lit(1))
             rows = rows.filter(F.pmod(F.xxhash64("doc_id"), of) < most)
     counts = rows.select("text", "lang").mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    return LanguageModel(counts.collect(), labelled)  # at most TRIGRAMS + 256 rows for each language
+    return LanguageModel(counts.toArrow(), labelled)  # at most TRIGRAMS + 256 numbers for each language
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:

@@ -35,7 +35,7 @@ def test_mixed_text_has_spans_and_odd_texts_are_und(spark):
 
 
 def test_every_script_can_be_learned(spark):
-    say = {"ka": "ეს არის ქართული ტექსტი", "am": "ይህ የአማርኛ ጽሑፍ ነው", "km": "នេះជា អត្ថបទ ខ្មែរ", "dv": "މިއީ ދިވެހި ލިޔުމެކެވެ", "hy": "սա հայերեն տեքստ է և", "he": "זה טקסט בעברית", "ff": "𞤀𞤣𞤤𞤢𞤥 𞤆𞤵𞤤𞤢𞤪", "vi": "ở ổ ấy", "en": "“this” is — an English text"}
+    say = {"ka": "ეს არის ქართული ტექსტი", "am": "ይህ የአማርኛ ጽሑፍ ነው", "km": "នេះជា អត្ថបទ ខ្មែរ", "dv": "މިއީ ދިވެހި ލިޔުމެކެވެ", "hy": "սա հայերեն տեքստ է և", "he": "זה טקסט בעברית", "my": "ဤ မြန်မာ စာ ဖြစ်သည်", "th": "นี่ คือ ข้อความ ไทย", "hi": "यह हिन्दी पाठ है", "bn": "এটি বাংলা লেখা", "ja": "これは にほんご の ぶんしょう", "zh": "这是 中文 文字", "ko": "이것은 한국어 글", "ff": "𞤀𞤣𞤤𞤢𞤥 𞤆𞤵𞤤𞤢𞤪", "vi": "ở ổ ấy", "en": "“this” is — an English text"}
     rows = [(1000 * k + i, x, t) for k, (x, t) in enumerate(say.items()) for i in range(9 if x == "en" else 3)]
     rows = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
     assert {r[1] for r in rows} == set(say)

@@ -1,7 +1,9 @@
 """Operators 4 and 6 to 10 against brute force, and their odd cases."""
 
 import random
+import re
 import zlib
+from collections import Counter
 from functools import reduce
 
 import numpy as np
@@ -9,6 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import DataFrame
 
+from codequarry.llm import fertility
 from codequarry.llm import superminhash as M
 from codequarry.llm._tokens import vocabulary, word_bpe
 from codequarry.llm._words import BLANK, words
@@ -169,14 +172,15 @@ def test_cut_text_keeps_lines(spark):
     assert got == {1: passage, 2: " a\n\tb  c\td \n", 3: "e\n", 4: "x\ny"}
 
 
+@pytest.mark.parametrize("window", [5, 8, 13])
 @pytest.mark.parametrize("most", [500_000, 0])
-def test_contamination(spark, most):
+def test_contamination(spark, most, window):
     docs = some_docs(5)
     r = random.Random(9)
-    items = [(1, docs[6][1][:200]), (2, " ".join(docs[26][1].split()[3:14])), (3, "w1 w2"), (3, "w7"), (4, None), (5, ""), (None, "w9 w8"), (6, " ".join(r.choice(VOCAB) for _ in range(30)))]
+    items = [(1, docs[6][1][:200]), (2, " ".join(docs[26][1].split()[3:14])), (3, "w1 w2"), (3, "w7"), (4, None), (5, ""), (None, "w9 w8"), (7, " ".join((docs[6][1] or "").split()[2:12])), (6, " ".join(r.choice(VOCAB) for _ in range(30)))]
     bench = spark.createDataFrame([(*i, 0) for i in items], "item_id long, text string, fp int")
-    got = contamination(odd_frame(spark, docs), bench, most_broadcast=most).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-    assert rows(got) == sorted(hits(docs, items), key=str)
+    got = contamination(odd_frame(spark, docs), bench, window=window, most_broadcast=most).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert rows(got) == sorted(hits(docs, items, window), key=str)
 
 
 def test_quality_rules(spark):
@@ -186,6 +190,75 @@ def test_quality_rules(spark):
     assert not got.filter("kept and base_failed").count() and not got.filter("doc_id = 200 and kept").count()
 
 
+#: The first article of the Universal Declaration of Human Rights; two-letter keys are languages in Latin letters.
+PROSE = {
+    'en': 'All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience and should act towards one another in a spirit of brotherhood.',
+    'vi': 'Tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền lợi. Mọi con người đều được tạo hóa ban cho lý trí và lương tâm và cần phải đối xử với nhau trong tình bằng hữu.',
+    'pl': 'Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.',
+    'tr': 'Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler.',
+    'fi': 'Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.',
+    'cs': 'Všichni lidé rodí se svobodní a sobě rovní co do důstojnosti a práv. Jsou nadáni rozumem a svědomím a mají spolu jednat v duchu bratrství.',
+    'greek': 'Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα. Είναι προικισμένοι με λογική και συνείδηση, και οφείλουν να συμπεριφέρονται μεταξύ τους με πνεύμα αδελφοσύνης.',
+    'cyrillic': 'Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.',
+    'hebrew': 'כל בני האדם נולדו בני חורין ושווים בערכם ובזכויותיהם. כולם חוננו בתבונה ובמצפון, לפיכך חובה עליהם לנהוג איש ברעהו ברוח של אחווה.',
+    'arabic': 'يولد جميع الناس أحرارا متساوين في الكرامة والحقوق. وقد وهبوا عقلا وضميرا وعليهم أن يعامل بعضهم بعضا بروح الإخاء.',
+    'devanagari': 'सभी मनुष्यों को गौरव और अधिकारों के मामले में जन्मजात स्वतन्त्रता और समानता प्राप्त है। उन्हें बुद्धि और अन्तरात्मा की देन प्राप्त है और परस्पर उन्हें भाईचारे के भाव से बर्ताव करना चाहिए।',
+    'thai': 'มนุษย์ทั้งหลายเกิดมามีอิสระและเสมอภาคกันในเกียรติศักดิ์และสิทธิ ต่างมีเหตุผลและมโนธรรม และควรปฏิบัติต่อกันด้วยเจตนารมณ์แห่งภราดรภาพ',
+    'han': '人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神相对待。',
+    'kana': 'すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。人間は、理性と良心とを授けられており、互いに同胞の精神をもって行動しなければならない。',
+    'hangul': '모든 인간은 태어날 때부터 자유로우며 그 존엄과 권리에 있어 동등하다. 인간은 천부적으로 이성과 양심을 부여받았으며 서로 형제애의 정신으로 행동하여야 한다.',
+    'georgian': 'ყველა ადამიანი იბადება თავისუფალი და თანასწორი თავისი ღირსებითა და უფლებებით. მათ მინიჭებული აქვთ გონება და სინდისი და ერთმანეთის მიმართ უნდა იქცეოდნენ ძმობის სულისკვეთებით.',
+    'armenian': 'Բոլոր մարդիկ ծնվում են ազատ ու հավասար իրենց արժանապատվությամբ ու իրավունքներով։ Նրանք ունեն բանականություն ու խիղճ և միմյանց պետք է եղբայրաբար վերաբերվեն։',
+    'bengali': 'সমস্ত মানুষ স্বাধীনভাবে সমান মর্যাদা এবং অধিকার নিয়ে জন্মগ্রহণ করে। তাঁদের বিবেক এবং বুদ্ধি আছে; সুতরাং সকলেরই একে অপরের প্রতি ভ্রাতৃত্বসুলভ মনোভাব নিয়ে আচরণ করা উচিত।',
+    'tamil': 'மனிதப் பிறவியினர் சகலரும் சுதந்திரமாகவே பிறக்கின்றனர்; அவர்கள் மதிப்பிலும், உரிமைகளிலும் சமமானவர்கள், அவர்கள் நியாயத்தையும் மனச்சாட்சியையும் இயற்பண்பாகப் பெற்றவர்கள்.'
+}
+
+
+def figures(text):
+    """The four figures of one text, word by word."""
+    import base64
+
+    import public_tokenizers
+    import sentencepiece
+    import tiktoken
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=vocabulary("piece_bpe_32k.model"))
+    with open(vocabulary("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    other = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    ids = [i for x in w for i in lib.encode(x)]
+    least = max(1, min(len(ids), sum(len(other.encode_ordinary(" " + x)) for x in w)))
+    blocks = [b for b in np.array_split(ids, -(-len(ids) // 4096)) if len(b)] if ids else []
+    bits = [sum(-c / len(b) * np.log2(c / len(b)) for c in Counter(b.tolist()).values()) / np.log2(max(len(b), 2)) for b in blocks]
+    letters = sum(c.isalnum() if c.isascii() else True for x in w for c in x)
+    return sum(map(len, w)) / least, letters / least, np.mean([lib.is_byte(i) for i in ids]) if ids else 0.0, np.mean(bits) if bits else 0.0
+
+
+def test_fertility_figures_bands_and_verdicts(spark):
+    """Prose of every script passes; the same words shouted or decorated don't, where letters tell; each rule has a text that breaks it alone."""
+    r = random.Random(8)
+    docs = [(i, f"{t} " * 2) for i, t in enumerate(PROSE.values())]  # of 20 words or more, where words have blanks
+    shout = [(100 + i, " ".join(w.upper() + "!!" for w in PROSE[x].split())) for i, x in enumerate(("en", "vi", "cs", "greek", "cyrillic", "armenian"))]
+    odd = [
+        (200, " ".join("abcd"[i % 4] + chr(0x1F600 + i % 60) * 2 + "word" for i in range(80))),  # byte fallback
+        (201, " ".join(r.choice(["thing", "water", "other"]) for _ in range(400))),  # few different tokens
+        (202, None), (203, ""), (204, " \n"), (205, "w " * 19), (206, "x" * 300_000 + " y" * 30), (207, "\U00010330\U00010331\U00010332 " * 3 + " ".join("\U00010330" * k for k in range(1, 30))),
+    ]
+    some = [d for d in some_docs(6) if d[0] is not None and d[0] != 5]
+    got = {x.doc_id: x for x in quality_rules(odd_frame(spark, [*docs, *shout, *odd, *((1000 + d, t) for d, t in some)])).collect()}
+    for d, t in [*docs, *shout, *odd, *((1000 + d, t) for d, t in some)]:
+        x = got[d]
+        assert np.allclose([x.chars_per_token, x.letters_per_token, x.byte_share, x.entropy], figures(t or "")), (d, t)
+        band = fertility.BANDS.get(x.script, fertility.BANDS["other"])
+        out = [f for f in fertility.FIGURES if not getattr(band, f)[0] <= getattr(x, f) <= getattr(band, f)[1]]
+        assert set(out) == set(x.rejected_by) - {"few_words", "repeats"} and x.kept == (not x.rejected_by)
+    assert all(not set(got[d].rejected_by) - {"few_words", "repeats"} for d, _ in docs)
+    assert {got[d].script for d, _ in docs} == {"latin", *(k for k in PROSE if len(k) > 2)}
+    assert all("letters_per_token" in got[d].rejected_by for d, _ in shout)
+    assert "byte_share" in got[200].rejected_by and "entropy" in got[201].rejected_by and got[207].script == "gothic"
+
+
 def test_quality_rules_do_not_tire_of_long_texts(spark):
     """A long run of clean documents is as clean as they are; a long run of few words is not."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang = 'de'")

@@ -238,7 +238,7 @@ class SubstringIndex:
         """An immutable run for a batch; its id.  Compacts where a level is full."""
         found, run = self._find(docs), uuid.uuid4().hex
         flat = found.select("doc_id", "text_hash", F.explode("spans").alias("s")).select("doc_id", "text_hash", "s.*", F.col("doc_id").alias("last"))
-        salted = F.xxhash64("fp", F.pmod("text_hash", F.lit(SALTS)))
+        salted = F.xxhash64("fp", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))  # copies have one text, not one id
         flat = flat.withColumn("b", F.when(F.col("hot"), salted).otherwise(F.col("fp"))).withColumn("hot", F.col("hot").cast("int"))
         self._write(flat.repartition(self.buckets, "b"), run)
         self._publish([*self.runs, {"id": run, "level": 0}])

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.workers import prepare
 from ..schema import NODE_KINDS
 
 
@@ -56,36 +59,81 @@ def node_exists(nodes: DataFrame, node_id: str) -> bool:
 def nodes_by_location(frames: DataFrame, nodes: DataFrame) -> DataFrame:
     """For each frame (frame_id, path, line, lang) the innermost live node around its line, in the file whose path ends with the frame's.
 
-    Joined on language and file name, so only one file's nodes meet a frame.
+    Different paths meet different files first, by language, file name and the last three characters of the folder's name, so
+    that a file name that every folder has joins little else; then the frames of a file meet its nodes.  A
+    path without a folder is any file of that name.
     """
     slash = lambda c: F.translate(F.col(c), "\\", "/")
     base = lambda c: F.element_at(F.split(c, "/"), -1)
-    f = frames.select("frame_id", F.col("line").alias("_line"), F.col("lang").alias("_lang"), slash("path").alias("_path")).withColumn("_base", base(F.col("_path")))
-    n = current(nodes).withColumn("_base", base(F.col("file_path")))
-    hit = f.join(n, (f["_base"] == n["_base"]) & (f["_lang"] == n["lang"])).filter(F.col("file_path").endswith(F.col("_path")) & F.col("_line").between(F.col("start_line"), F.col("end_line")))
+    folder = lambda c: F.get(F.reverse(F.split(c, "/")), F.lit(1))
+    key = lambda c, n: F.concat(F.right(folder(c), F.lit(n)), F.lit("/"), base(c))
+    f = frames.select("frame_id", F.col("line").alias("_line"), F.col("lang").alias("_lang"), slash("path").alias("_path"))
+    n = current(nodes)
+    paths = f.select("_lang", "_path").distinct().withColumn("_key", F.coalesce(key(F.col("_path"), 3), F.col("_path")))
+    files = n.select(F.col("lang").alias("_lang"), F.col("file_path").alias("_file")).distinct()
+    keys = F.array_distinct(F.array_compact(F.array(base(F.col("_file")), *[key(F.col("_file"), k) for k in (1, 2, 3)])))
+    pairs = paths.join(files.withColumn("_key", F.explode(keys)), ["_lang", "_key"]).filter(F.col("_file").endswith(F.col("_path"))).select("_lang", "_path", "_file").distinct()
+    hit = f.join(pairs, ["_lang", "_path"]).join(n, (F.col("_file") == n["file_path"]) & (F.col("_lang") == n["lang"])).filter(F.col("_line").between(F.col("start_line"), F.col("end_line")))
     best = F.row_number().over(Window.partitionBy("frame_id").orderBy(F.desc("start_line"), "id"))
-    return hit.withColumn("_n", best).filter("_n = 1").drop("_n", "_base", "_path", "_line", "_lang")
+    return hit.withColumn("_n", best).filter("_n = 1").drop("_n", "_path", "_file", "_line", "_lang")
 
 
-def _starts(c: Column) -> Column:
-    """All substrings of 1 to 3 characters."""
-    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.array(F.substring(c, i, F.lit(1)), F.substring(c, i, F.lit(2)), F.substring(c, i, F.lit(3))))))
+NAME_BLOCK = 200_000  #: different names that tasks hold at once
 
 
-def nodes_by_name(frames: DataFrame, nodes: DataFrame, kinds: tuple[str, ...] = ("Function", "Method", "Constructor")) -> DataFrame:
-    """For each frame (frame_id, name, lang) the first live callable of that name, else the first whose qualified name contains it.
+def _containing(block):
+    def run(batches):
+        names = block.value  # language -> names
+        machines = {}
+        for lang, some in names.items():
+            machines[lang] = ahocorasick.Automaton()
+            for x in some:
+                machines[lang].add_word(x, x)
+            machines[lang].make_automaton()
+        best: dict[tuple[str, str], tuple[str, str]] = {}
+        for batch in batches:
+            for lang, qualified, node in zip(*(batch.column(c).to_pylist() for c in ("lang", "qualified_name", "id")), strict=True):
+                if lang in machines and qualified:
+                    for x in {found for _, found in machines[lang].iter(qualified)}:
+                        if (lang, x) not in best or (qualified, node) < best[lang, x]:
+                            best[lang, x] = (qualified, node)
+        cols = list(zip(*[(*k, *v) for k, v in best.items()], strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["lang", "name", "qualified_name", "id"])
+
+    return run
+
+
+def first_containing(names: DataFrame, nodes: DataFrame, block: int = NAME_BLOCK) -> DataFrame:
+    """For different names (lang, name) the node (lang, name, qualified_name, id) first by qualified name and id that contains it.
 
-    The second step is an equi-join on the first three characters, checked by ``contains``.
+    Names go to the tasks in blocks, as an automaton that finds all of them in one pass over a qualified name, and each
+    task keeps one node of a name: neither a common name nor a common part of one makes pairs.
     """
+    spark = nodes.sparkSession
+    prepare(spark)
+    names = names.filter((F.length("name") > 0) & F.col("lang").isNotNull()).select("lang", "name").distinct()
+    parts = max(1, -(-names.count() // block))
+    blocks, found = names.withColumn("_b", F.pmod(F.xxhash64("name"), F.lit(parts))), None
+    for i in range(parts):
+        by: dict[str, list[str]] = {}
+        for r in (blocks if parts == 1 else blocks.filter(F.col("_b") == i)).toLocalIterator():  # about ``block`` names
+            by.setdefault(r.lang, []).append(r.name)
+        one = nodes.select("lang", "qualified_name", "id").mapInArrow(_containing(spark.sparkContext.broadcast(by)), "lang string, name string, qualified_name string, id string")
+        found = one if found is None else found.unionByName(one)
+    return found.groupBy("lang", "name").agg(F.min(F.struct("qualified_name", "id")).alias("m")).select("lang", "name", "m.*")
+
+
+def nodes_by_name(frames: DataFrame, nodes: DataFrame, kinds: tuple[str, ...] = ("Function", "Method", "Constructor")) -> DataFrame:
+    """For each frame (frame_id, name, lang) the first live callable of that name, else the first whose qualified name contains it."""
     n = current(nodes).filter(F.col("kind").isin(*kinds))
     f = frames.select("frame_id", F.col("name").alias("_name"), F.col("lang").alias("_lang"))
-    named = n.withColumn("_key", F.explode(F.array_distinct(F.array("name", "qualified_name"))))
-    exact = f.join(named, (f["_name"] == named["_key"]) & (f["_lang"] == named["lang"])).withColumn("tier", F.lit(0))
-    rest = f.join(exact.select("frame_id").distinct(), "frame_id", "left_anti").filter(F.length("_name") > 0)
-    grams = n.withColumn("_key", F.explode(_starts(F.col("qualified_name"))))
-    near = rest.join(grams, (F.substring(rest["_name"], 1, 3) == grams["_key"]) & (rest["_lang"] == grams["lang"])).filter(F.col("qualified_name").contains(F.col("_name"))).withColumn("tier", F.lit(1))
-    best = F.row_number().over(Window.partitionBy("frame_id").orderBy("tier", "qualified_name", "id"))
-    return exact.unionByName(near).withColumn("_n", best).filter("_n = 1").drop("_n", "_key", "_name", "_lang")
+    named = n.select("lang", F.explode(F.array_distinct(F.array("name", "qualified_name"))).alias("name"), "qualified_name", "id")
+    wanted = f.select(F.col("_lang").alias("lang"), F.col("_name").alias("name")).distinct()
+    exact = named.join(wanted, ["lang", "name"], "left_semi").groupBy("lang", "name").agg(F.min(F.struct("qualified_name", "id")).alias("m")).select("lang", "name", "m.id")
+    rest = wanted.join(exact, ["lang", "name"], "left_anti")
+    both = exact.withColumn("tier", F.lit(0)).unionByName(first_containing(rest, n).select("lang", "name", "id").withColumn("tier", F.lit(1)))
+    hit = f.join(both.select(F.col("lang").alias("_lang"), F.col("name").alias("_name"), F.col("id").alias("_id"), "tier"), ["_lang", "_name"])
+    return hit.join(n, F.col("_id") == n["id"]).drop("_name", "_lang", "_id")
 
 
 def ambiguity_report(found: DataFrame) -> DataFrame:

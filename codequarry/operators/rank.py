@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.workers import prepare
+from ..schema import EMBEDDABLE_KINDS
+
 K1, B = 1.2, 0.75
 
 
@@ -34,12 +39,58 @@ def vector_topk_with_fallback(vectors: DataFrame, query: list[float], k: int, wh
     return both.orderBy("tier", F.desc("score"), "id").limit(k)
 
 
-def vector_topk_batch(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, id, score, rank) for a bounded table of queries (query_id, embedding): each is compared with every vector."""
-    q = queries.select("query_id", F.col("embedding").alias("_q"))
-    scored = vectors.join(F.broadcast(q)).select("query_id", "id", cosine(F.col("embedding"), F.col("_q")).alias("score"))
+QUERY_BLOCK = 2_000  #: queries that tasks hold at once
+
+
+def _block_top(block, k: int):
+    def run(batches):
+        ids, q = block.value
+        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+        best = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            flat = np.asarray(batch.column("embedding").flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
+            size = np.linalg.norm(flat, axis=1, keepdims=True)
+            score = q @ (flat / np.maximum(size, 1e-300)).T
+            score[:, size[:, 0] == 0] = -np.inf
+            name = np.broadcast_to(np.asarray(batch.column("id")), score.shape)
+            both = (score, name) if best is None else (np.hstack([best[0], score]), np.hstack([best[1], name]))
+            order = np.lexsort((both[1], -both[0]), axis=1)[:, :k]
+            best = np.take_along_axis(both[0], order, 1), np.take_along_axis(both[1], order, 1)
+        if best is not None:
+            n = best[0].shape[1]
+            cols = [pa.array(np.repeat(ids, n)), pa.array(best[1].ravel()), pa.array(best[0].ravel())]
+            out = pa.RecordBatch.from_arrays(cols, names=["query_id", "id", "score"])
+            yield out.filter(pa.array(np.isfinite(best[0].ravel())))
+
+    return run
+
+
+def vector_topk_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, id, score, rank) of queries (query_id, embedding) against all vectors (id, embedding), by cosine; ties by id.
+
+    Ids are whole numbers, embeddings of one length.  Queries go to the tasks in blocks of at most ``block`` rows; each task
+    keeps the best ``k`` of its vectors for each, so k rows per query and task are shuffled.  Vectors of length 0 match nothing.
+    """
+    spark = vectors.sparkSession
+    prepare(spark)
+    rows = queries.select(F.col("query_id").cast("bigint"), F.col("embedding").cast("array<double>"))
+    parts = max(1, -(-rows.count() // block))
+    blocks = rows.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
+    found = None
+    for i in range(parts):
+        got = blocks.filter(F.col("_b") == i).drop("_b").toArrow()  # about ``block`` rows
+        if not got.num_rows:
+            continue
+        q = np.array(got.column("embedding").to_pylist(), dtype=np.float64)
+        b = spark.sparkContext.broadcast((np.asarray(got.column("query_id")), q))
+        one = vectors.select(F.col("id").cast("bigint"), F.col("embedding").cast("array<double>")).mapInArrow(_block_top(b, k), "query_id long, id long, score double")
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        return spark.createDataFrame([], "query_id long, id long, score double, rank int")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def update_vectors(vectors: DataFrame, fresh: DataFrame, gone: DataFrame) -> DataFrame:
@@ -71,13 +122,24 @@ def tokens(text: Column) -> Column:
 
 
 def inverted_index(docs: DataFrame, fields: list[str]) -> DataFrame:
-    """(term, id, tf, length): the full-text index of the fields, joined by blanks."""
+    """(term, id, tf, length): the full-text index of the fields, joined by blanks; a document's own row has the term ''."""
     text = F.concat_ws(" ", *[F.coalesce(F.col(f), F.lit("")) for f in fields])
     words = docs.select("id", tokens(text).alias("w"))
-    flat = words.select("id", F.size("w").alias("length"), F.explode("w").alias("term"))
+    flat = words.select("id", F.size("w").alias("length"), F.explode(F.array_append("w", F.lit(""))).alias("term"))
     return flat.groupBy("term", "id", "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def bm25_of_index(index: DataFrame, query: str, limit: int = 20) -> DataFrame:
+    """(id, score) as ``bm25``, from a stored inverted index: only the query's terms and the documents' own rows are read."""
+    terms = sorted(set(_words(query)))
+    corpus = index.filter("term = ''").agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean"))
+    hit = index.filter(F.col("term").isin(*terms)) if terms else index.limit(0)
+    df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    one = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    scored = hit.join(F.broadcast(df), "term").join(F.broadcast(corpus))  # a row for each of the query's words; one row
+    return scored.groupBy("id").agg(F.sum(one).alias("score")).filter("score > 0").orderBy(F.desc("score"), "id").limit(limit)
+
+
 def bm25(docs: DataFrame, query: str, fields: list[str], limit: int = 20) -> DataFrame:
     """(id, score): BM25 of the query's different words; ties by id.
 
@@ -109,10 +171,11 @@ def _words(text: str) -> list[str]:
 
 
 def normalised(scored: DataFrame) -> DataFrame:
-    """Scores moved to 0..1 by their range; all equal gives 1."""
-    ends = scored.agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
-    out = scored.join(F.broadcast(ends))  # one row
-    return out.withColumn("score", F.when(F.col("_hi") == F.col("_lo"), 1.0).otherwise((F.col("score") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))).drop("_lo", "_hi")
+    """Scores of a ranked list (id, score; a top k, so small) moved to 0..1 by their range; all equal gives 1."""
+    whole = scored.agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"), F.collect_list(F.struct("id", "score")).alias("_l"))
+    out = whole.select("_lo", "_hi", F.explode("_l").alias("_x"))
+    share = F.when(F.col("_hi") == F.col("_lo"), 1.0).otherwise((F.col("_x.score") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
+    return out.select(F.col("_x.id").alias("id"), share.alias("score"))
 
 
 def fuse(vector: DataFrame, keyword: DataFrame, vector_weight: float = 0.7, keyword_weight: float = 0.3, limit: int = 20) -> DataFrame:
@@ -130,6 +193,29 @@ def hybrid_search(vectors: DataFrame, docs: DataFrame, query_vector: list[float]
     return fuse(vector_topk(vectors, query_vector, 2 * limit, where), bm25(docs, query_text, fields, 2 * limit), vector_weight, keyword_weight, limit)
 
 
+def hybrid_search_of_index(vectors: DataFrame, index: DataFrame, query_vector: list[float], query_text: str, limit: int = 10, vector_weight: float = 0.7, keyword_weight: float = 0.3, where: Column | None = None) -> DataFrame:
+    """As hybrid_search, with keywords from a stored inverted index."""
+    return fuse(vector_topk(vectors, query_vector, 2 * limit, where), bm25_of_index(index, query_text, 2 * limit), vector_weight, keyword_weight, limit)
+
+
+def semantic_search(vectors: DataFrame, query_vector: list[float], limit: int = 10, lang: str | None = None, kind: str | None = None, index: DataFrame | None = None, query_text: str = "", fallback: bool = True, weights: tuple[float, float] = (0.7, 0.3)) -> DataFrame:
+    """The entry to semantic search over vectors (id, embedding, lang, kind): at most 50 (id, score).
+
+    Hybrid if a keyword index is given; else by vectors, and if the filter leaves fewer than asked for, filled up from all vectors.
+    """
+    limit = max(1, min(limit, 50))
+    where = None
+    for column, value in (("lang", lang), ("kind", kind)):
+        if value is not None:
+            one = F.col(column) == value
+            where = one if where is None else where & one
+    if index is not None:
+        return hybrid_search_of_index(vectors, index, query_vector, query_text, limit, *weights, where)
+    if where is not None and fallback:
+        return vector_topk_with_fallback(vectors, query_vector, limit, where).select("id", "score")
+    return vector_topk(vectors, query_vector, limit, where).select("id", "score")
+
+
 def summary_text(nodes: DataFrame) -> Column:
     """What a node is embedded by: language, kind, name, signature, place."""
     place = F.concat(F.lit("file: "), F.col("file_path"), F.lit(":"), F.col("start_line").cast("string"))
@@ -143,3 +229,49 @@ def hashed_embedding(text: Column, dims: int = 64) -> Column:
     at = lambda i: F.aggregate(F.filter(h, lambda x: F.pmod(x, F.lit(dims)) == i), F.lit(0.0), lambda s, x: s + F.when(F.shiftrightunsigned(x, 63) == 1, -1.0).otherwise(1.0))
     raw = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: at(i))
     return F.transform(raw, lambda x: x / F.greatest(F.sqrt(dot(raw, raw)), F.lit(1e-12)))
+
+
+def embed(texts: DataFrame, encode, batch: int = 32) -> DataFrame:
+    """(id, embedding) of texts (id, text) by ``encode``, a function from a list of texts to a list of vectors (a local model or a remote encoder), called for at most ``batch`` at once; vectors are scaled to length 1."""
+
+    def run(batches):
+        for b in batches:
+            ids, rows = b.column("id"), b.column("text").to_pylist()
+            for at in range(0, len(rows), batch):
+                v = np.asarray(encode([t or "" for t in rows[at : at + batch]]), dtype=np.float64)
+                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+                yield pa.RecordBatch.from_arrays([ids.slice(at, len(v)), pa.array(v.tolist(), pa.list_(pa.float64()))], names=["id", "embedding"])
+
+    prepare(texts.sparkSession)
+    return texts.select(F.col("id").cast("string"), "text").mapInArrow(run, "id string, embedding array<double>")
+
+
+def http_encoder(url: str, protocol: str = "embed", model: str = "", timeout: float = 60.0):
+    """An ``encode`` that asks a server: ``embed`` posts {"texts": [...]} and reads "embeddings"; ``openai`` posts {"input", "model"} and reads "data"."""
+    if protocol not in ("embed", "openai"):
+        raise ValueError(f"unknown protocol {protocol!r}")
+
+    def encode(texts: list[str]) -> list[list[float]]:
+        import json
+        from urllib.request import Request, urlopen
+
+        body = {"texts": texts} if protocol == "embed" else {"input": texts, "model": model}
+        with urlopen(Request(url, json.dumps(body).encode(), {"Content-Type": "application/json"}), timeout=timeout) as r:
+            got = json.loads(r.read())
+        return got["embeddings"] if protocol == "embed" else [x["embedding"] for x in sorted(got["data"], key=lambda x: x["index"])]
+
+    return encode
+
+
+def build_vectors(nodes: DataFrame, encode=None) -> DataFrame:
+    """(id, embedding, lang, kind) of live nodes of the kinds that are embedded, from their summary texts; without an encoder, hashed vectors."""
+    some = nodes.filter(F.col("valid_to").isNull() & F.col("kind").isin(*EMBEDDABLE_KINDS))
+    texts = some.select("id", summary_text(some).alias("text"), "lang", "kind")
+    if encode is None:
+        return texts.select("id", hashed_embedding(F.col("text")).alias("embedding"), "lang", "kind")
+    return embed(texts, encode).join(texts.select("id", "lang", "kind"), "id")
+
+
+def check_vectors(vectors: DataFrame, dims: int) -> DataFrame:
+    """Vectors of another length than the collection's, or of none (id)."""
+    return vectors.filter(F.col("embedding").isNull() | (F.size("embedding") != dims)).select("id")

@@ -49,3 +49,37 @@ def extractive(nodes: DataFrame) -> DataFrame:
     """A summary without a model: kind, name and signature in a sentence."""
     text = F.concat("kind", F.lit(" "), "qualified_name", F.coalesce(F.concat(F.lit(" with signature "), "signature"), F.lit("")), F.lit("."))
     return nodes.select(F.col("id").alias("node_id"), "code_hash", text.alias("summary"))
+
+
+PROMPT = (
+    "Describe this {kind} of a {lang} code base as one JSON object with the fields summary, purpose, inputs, outputs, side_effects, complexity, tags and notes.\n"
+    "Name: {qualified_name}\nSignature: {signature}\nFile: {file_path}\nCallers:\n{callers}\nCallees:\n{callees}\nCode:\n{code}\n"
+)
+
+
+def prompts(nodes: DataFrame, edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(node_id, code_hash, prompt) of live nodes; sources: (id, code)."""
+    n = current(nodes).join(contexts(nodes, edges), "id").join(sources.select("id", "code"), "id", "left")
+    parts, out = PROMPT.replace("{", "\0{").replace("}", "}\0").split("\0"), []
+    for p in parts:
+        out.append(F.coalesce(F.col(p[1:-1]), F.lit("")) if p.startswith("{") else F.lit(p))
+    return n.select(F.col("id").alias("node_id"), "code_hash", F.concat(*out).alias("prompt"))
+
+
+def summarise(prompts_: DataFrame, nodes: DataFrame, model) -> DataFrame:
+    """(node_id, code_hash, summary, purpose, ..., failed) by ``model``, a function from a list of prompts to a list of answers (None: no answer).
+
+    The model is called once for an Arrow batch of prompts.  Where it gives no answer, or none that can be read, the record is ``extractive``'s.
+    """
+    import pyarrow as pa
+
+    def ask(batches):
+        for b in batches:
+            got = model(b.column("prompt").to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column("node_id"), b.column("code_hash"), pa.array(got, pa.string())], names=["node_id", "code_hash", "answer"])
+
+    read = prompts_.select("node_id", "code_hash", "prompt").mapInArrow(ask, "node_id string, code_hash string, answer string").withColumn("a", parse_answer(F.col("answer")))
+    plain = extractive(nodes).select("node_id", F.col("summary").alias("_plain"))
+    fields = [x.split(" ")[0] for x in ANSWER.split(", ")][1:]
+    out = read.join(plain, "node_id", "left")
+    return out.select("node_id", "code_hash", F.coalesce("a.summary", "_plain").alias("summary"), *[F.col(f"a.{f}").alias(f) for f in fields], F.col("a.summary").isNull().alias("failed"))

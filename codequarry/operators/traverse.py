@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import CALL_KINDS, SUPER_KINDS
-from .lookup import current
+from .lookup import current, find_definition
 
 
 def reach(edges: DataFrame, seeds: DataFrame, kinds: list[str] | None, direction: str, max_depth: int) -> DataFrame:
@@ -36,11 +36,31 @@ def live_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return e.join(ids.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
 
 
+def reach_live(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, kinds: list[str] | None, direction: str, max_depth: int, ends_only: bool = False) -> DataFrame:
+    """(seed_id, id, depth) as ``reach`` over live edges between live nodes, from live seeds (seed_id).
+
+    The frontier comes first: each hop meets the edge table once, filtered by kind and liveness, and only what a hop
+    finds is looked up among the nodes.  ends_only: dead edges and nodes may lie on the way.
+    """
+    e = edges if ends_only else current(edges)
+    e = e if kinds is None else e.filter(F.col("kind").isin(*kinds))
+    out, back = e.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")), e.select(F.col("to_id").alias("a"), F.col("from_id").alias("b"))
+    hop = out if direction == "out" else back if direction == "in" else out.unionByName(back)
+    alive = current(nodes).select("id")
+    front, levels = seeds.select("seed_id", F.col("seed_id").alias("id")).distinct(), []
+    for depth in range(1, max_depth + 1):
+        front = front.join(hop, front["id"] == hop["a"]).select("seed_id", F.col("b").alias("id")).distinct()
+        if not ends_only:
+            front = front.join(alive, "id", "left_semi").select("seed_id", "id")
+        levels.append(front.withColumn("depth", F.lit(depth)))
+    return reduce(DataFrame.unionByName, levels).groupBy("seed_id", "id").agg(F.min("depth").alias("depth"))
+
+
 def _related(nodes: DataFrame, edges: DataFrame, node_id: str, kinds: list[str], direction: str, depth: int, limit: int, base_kinds: tuple[str, ...] = (), ends_only: bool = False) -> DataFrame:
     """ends_only: dead edges and nodes may lie on the way; only the start and what is found must be live."""
     seed = current(nodes).filter(F.col("id") == node_id)
     seed = seed.filter(F.col("kind").isin(*base_kinds)) if base_kinds else seed
-    found = reach(edges if ends_only else live_edges(edges, nodes), seed.select(F.col("id").alias("seed_id")), kinds, direction, max(1, min(depth, 5)))
+    found = reach_live(nodes, edges, seed.select(F.col("id").alias("seed_id")), kinds, direction, max(1, min(depth, 5)), ends_only)
     return current(nodes).join(found.select("id", "depth"), "id").orderBy("qualified_name", "id").limit(limit)
 
 
@@ -76,13 +96,12 @@ def expand_neighbourhood(nodes: DataFrame, edges: DataFrame, node_id: str, depth
     Of the edges the ``limit`` first by id are returned, of the nodes the start and all in reach.
     """
     depth = max(1, min(depth, 4))
-    live = live_edges(edges, nodes)
-    live = live if edge_kinds is None else live.filter(F.col("kind").isin(*edge_kinds))
     start = current(nodes).filter(F.col("id") == node_id).select(F.col("id").alias("seed_id"))
-    near = reach(live, start, None, "both", depth).select("id", "depth").unionByName(start.select(F.col("seed_id").alias("id"), F.lit(0).alias("depth"))).groupBy("id").agg(F.min("depth").alias("depth"))
+    near = reach_live(nodes, edges, start, edge_kinds, "both", depth).select("id", "depth").unionByName(start.select(F.col("seed_id").alias("id"), F.lit(0).alias("depth"))).groupBy("id").agg(F.min("depth").alias("depth"))
     inner = near.filter(F.col("depth") < depth).select(F.col("id").alias("_end"))
+    live = current(edges) if edge_kinds is None else current(edges).filter(F.col("kind").isin(*edge_kinds))
     ends = live.withColumn("_end", F.explode(F.array("from_id", "to_id")))
-    touching = ends.join(inner, "_end", "left_semi").drop("_end").distinct()
+    touching = live_edges(ends.join(inner, "_end", "left_semi").drop("_end").distinct(), nodes).select(*edges.columns)
     return current(nodes).join(near.select("id"), "id", "left_semi"), touching.orderBy("id").limit(limit)
 
 
@@ -90,13 +109,33 @@ def call_confidence(edges: DataFrame, edge_id: str) -> DataFrame:
     return edges.filter((F.col("id") == edge_id) & F.col("kind").isin(*CALL_KINDS)).select("id", "confidence").limit(1)
 
 
+def call_confidences(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, confidence) of those of some edges (id) that are calls."""
+    return edges.filter(F.col("kind").isin(*CALL_KINDS)).join(ids.select("id").distinct(), "id", "left_semi").select("id", "confidence")
+
+
 def call_confidence_between(edges: DataFrame, from_id: str, to_id: str) -> DataFrame:
     return edges.filter((F.col("from_id") == from_id) & (F.col("to_id") == to_id) & F.col("kind").isin(*CALL_KINDS)).select("id", "confidence").orderBy("id")
 
 
+def callers_by_name(nodes: DataFrame, edges: DataFrame, name: str, max_depth: int = 1, kind: str | None = None, lang: str | None = None) -> DataFrame:
+    """Callers of the first definition of a name."""
+    return _by_name(nodes, edges, name, max_depth, kind, lang, "in")
+
+
+def callees_by_name(nodes: DataFrame, edges: DataFrame, name: str, max_depth: int = 1, kind: str | None = None, lang: str | None = None) -> DataFrame:
+    return _by_name(nodes, edges, name, max_depth, kind, lang, "out")
+
+
+def _by_name(nodes: DataFrame, edges: DataFrame, name: str, depth: int, kind: str | None, lang: str | None, direction: str) -> DataFrame:
+    first = find_definition(nodes, name, kind, lang, 1).select(F.col("id").alias("seed_id"))
+    found = reach_live(nodes, edges, first, CALL_KINDS, direction, max(1, min(depth, 5)))
+    return current(nodes).join(found.select("id", "depth"), "id").orderBy("qualified_name", "id").limit(200)
+
+
 def symbol_impact(nodes: DataFrame, edges: DataFrame, node_id: str) -> DataFrame:
     """One row: references, direct callers and direct callees of a node."""
-    live = live_edges(edges, nodes)
+    live = live_edges(edges.filter((F.col("to_id") == node_id) | (F.col("from_id") == node_id)), nodes)
     into, out = F.col("to_id") == node_id, F.col("from_id") == node_id
     call = F.col("kind").isin(*CALL_KINDS)
     ref = F.col("kind").isin("CALLS", "TYPES", *SUPER_KINDS)

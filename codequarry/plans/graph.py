@@ -10,6 +10,10 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.rank import inverted_index
+from ..scratch import new_path
+from ..store import GraphStore
+
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "conversations", "labels")
 
 
@@ -87,16 +91,43 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql, **{t: base(spark, sf_dir, t) for t in BASE if "{" + t + "}" in sql})
 
 
+_stored: dict[tuple[str, str], GraphStore] = {}
+
+
+def store(spark: SparkSession, sf_dir: str) -> GraphStore:
+    """The graph as a stored version, as a user has it: written once a session and directory; edges sorted by where they start."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        made = GraphStore(spark, new_path(spark, "graph"))
+        terms = inverted_index(documents(spark, sf_dir), ["text"])
+        made.write(
+            "c1", nodes=view(spark, sf_dir, "nodes").sortWithinPartitions("id"), blocks=view(spark, sf_dir, "blocks"),
+            edges_raw=view(spark, sf_dir, "edges_raw").repartition("from_id").sortWithinPartitions("from_id"), terms=terms.repartition("term").sortWithinPartitions("term"),
+        )
+        _stored[key] = made
+    return _stored[key]
+
+
+@cache
+def _columns(name: str) -> tuple[str, ...]:
+    return {"nodes": ("id", "kind", "name", "qualified_name", "lang", "file_path", "start_line", "end_line", "code_hash", "signature", "valid_from", "valid_to")}.get(name, ())
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "nodes")
+    return store(spark, sf_dir).table("nodes").select(*_columns("nodes"))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "edges_raw")
+    return store(spark, sf_dir).table("edges_raw")
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "blocks")
+    return store(spark, sf_dir).table("blocks")
+
+
+def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored inverted index of the documents."""
+    return store(spark, sf_dir).table("terms")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,9 +16,12 @@ from ..operators import signature as S
 from ..operators import stats as T
 from ..operators import summarize as Z
 from ..operators import text as X
-from ..operators import traces as C
+from ..operators import crud as C
+from ..operators import traces as Y
 from ..operators import traverse as G
 from ..operators import versioning as V
+from .. import index as I
+from .. import schema as S_
 from ..sources import extract as P
 from ..sources import walk as D
 from ..streaming import watch as W
@@ -138,9 +141,9 @@ def find_callers_d1(spark, d):
     return G.find_callers(A.nodes(spark, d), A.edges(spark, d), "P10", 1).select(*_DEEP)
 
 
-@query(_walk("E500", _CALLS, "in", 3, 200))
+@query(_walk("E899", _CALLS, "in", 3, 200))
 def find_callers_d3(spark, d):
-    return G.find_callers(A.nodes(spark, d), A.edges(spark, d), "E500", 3).select(*_DEEP)
+    return G.find_callers(A.nodes(spark, d), A.edges(spark, d), "E899", 3).select(*_DEEP)
 
 
 @query(_walk("O8", _CALLS, "out", 1, 200))
@@ -148,9 +151,9 @@ def find_callees_d1(spark, d):
     return G.find_callees(A.nodes(spark, d), A.edges(spark, d), "O8", 1).select(*_DEEP)
 
 
-@query(_walk("E20", _CALLS, "out", 5, 200))
+@query(_walk("E10", _CALLS, "out", 5, 200))
 def find_callees_d5(spark, d):
-    return G.find_callees(A.nodes(spark, d), A.edges(spark, d), "E20", 9).select(*_DEEP)
+    return G.find_callees(A.nodes(spark, d), A.edges(spark, d), "E10", 9).select(*_DEEP)
 
 
 @query(_walk("P2", _SUPER, "in", 3, 100))
@@ -184,7 +187,7 @@ def neighbourhood_edges(spark, d):
 @query("SELECT id, CAST(confidence AS DOUBLE) AS confidence FROM edges_raw WHERE from_id = 'O8' AND kind IN ('CALLS')")
 def call_confidence(spark, d):
     e = A.edges(spark, d).withColumn("confidence", F.col("confidence").cast("double"))
-    return e.filter("from_id = 'O8'").filter(F.col("kind").isin(*G.CALL_KINDS)).select("id", "confidence")
+    return G.call_confidences(e, C.out_edges(e, "O8"))
 
 
 @query("SELECT count_if(to_id = 'P10' AND kind IN ('CALLS', 'TYPES', 'INHERITS', 'EXTENDS', 'IMPLEMENTS')) :: BIGINT AS n_references, count(DISTINCT CASE WHEN to_id = 'P10' AND kind = 'CALLS' THEN from_id END) AS n_callers, count(DISTINCT CASE WHEN from_id = 'P10' AND kind = 'CALLS' THEN to_id END) AS n_callees FROM live")
@@ -299,6 +302,14 @@ def vector_topk_fallback(spark, d):
     return out.select("id", "tier", F.round("score", 6).alias("score"))
 
 
+@query(f"SELECT query_id, id, CAST(rank AS INT) AS rank, round(score, 6) AS score FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, {_COS} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COS}, 12) DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0) WHERE rank <= 10", graph=False)
+def vector_topk_batch(spark, d):
+    """Every vector whose id is divisible by 20 against all."""
+    v = A.vectors(spark, d)
+    got = K.vector_topk_batch(v, v.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding"), 10)
+    return got.select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
 _BM25 = (
     "w AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '([a-z0-9_]+)', 1) AS w FROM documents), b AS (SELECT id, len(w) AS n, len(list_filter(w, lambda x: x = 'thble')) AS t0, len(list_filter(w, lambda x: x = 'with')) AS t1 FROM w), c AS (SELECT count(*) AS docs, avg(n) AS mean, count_if(t0 > 0) AS d0, count_if(t1 > 0) AS d1 FROM b), "
     "s AS (SELECT id, ln(1 + (docs - d0 + 0.5::DOUBLE) / (d0 + 0.5::DOUBLE)) * t0 * 2.2::DOUBLE / (t0 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / mean)) + ln(1 + (docs - d1 + 0.5::DOUBLE) / (d1 + 0.5::DOUBLE)) * t1 * 2.2::DOUBLE / (t1 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / mean)) AS score FROM b, c)"
@@ -307,7 +318,7 @@ _BM25 = (
 
 @query(f"WITH {_BM25} SELECT id, round(score, 6) AS score FROM s WHERE score > 0 ORDER BY score DESC, id LIMIT 20", graph=False)
 def keyword_bm25(spark, d):
-    return K.bm25(A.documents(spark, d), "thble with", ["text"]).select("id", F.round("score", 6).alias("score"))
+    return K.bm25_of_index(A.terms(spark, d), "thble with").select("id", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -316,18 +327,30 @@ def keyword_bm25(spark, d):
     graph=False,
 )
 def hybrid_search(spark, d):
-    return K.hybrid_search(A.vectors(spark, d), A.documents(spark, d), _query_vector(spark, d), "thble with", ["text"]).select("id", F.round("score", 6).alias("score"))
+    return K.hybrid_search_of_index(A.vectors(spark, d), A.terms(spark, d), _query_vector(spark, d), "thble with").select("id", F.round("score", 6).alias("score"))
+
 
+_STOPS = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
+_IDENT = "list_slice(list_filter(list_transform(list_filter(list_transform(range(1, len(w) + 1), lambda i: {'w': w[i], 'i': i}), lambda p: list_position(w, p.w) = p.i), lambda p: p.w), lambda x: length(x) > 2 AND NOT list_contains([{}], lower(x))), 1, 10)".replace("{}", _STOPS)
+_WORDS = "list_filter(regexp_extract_all({}, '[\\p{L}\\p{N}_]+'), lambda x: regexp_full_match(x, '[a-zA-Z_][a-zA-Z0-9_]*'))"
 
-@query("SELECT doc_id, array_to_string(ids, ' ') AS ids FROM (SELECT doc_id, list_slice(list_filter(list_transform(list_filter(list_transform(range(1, len(w) + 1), lambda i: {'w': w[i], 'i': i}), lambda p: list_position(w, p.w) = p.i), lambda p: p.w), lambda x: length(x) > 2 AND NOT list_contains([{}], lower(x))), 1, 10) AS ids FROM (SELECT doc_id, regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]*)', 1) AS w FROM documents))".replace("{}", ", ".join(f"'{w}'" for w in X.STOP_WORDS)), graph=False)
+
+@query(f"SELECT doc_id, array_to_string({_IDENT}, ' ') AS ids FROM (SELECT doc_id, {_WORDS.replace('{}', 'text')} AS w FROM documents)", graph=False)
 def extract_identifiers(spark, d):
     return A.base(spark, d, "documents").select("doc_id", F.array_join(X.identifiers(F.col("text")), " ").alias("ids"))
 
 
-@query()
+_SAYING = "'handler of ' || event_type || ' broke in order_' || CAST(event_id % 50 AS VARCHAR)"
+
+
+@query(
+    f", t AS (SELECT event_id AS text_id, {_WORDS.replace('{}', _SAYING)} AS w FROM events), i AS (SELECT text_id, unnest(ids) AS name, unnest(range(0, len(ids))) AS place FROM (SELECT text_id, {_IDENT} AS ids FROM t)), "
+    "n AS (SELECT name, id, row_number() OVER (PARTITION BY name ORDER BY qualified_name, id) AS n FROM cur) "
+    "SELECT text_id, CAST(rank AS INT) AS rank, name, id, 0.7::DOUBLE AS score FROM (SELECT text_id, name, id, row_number() OVER (PARTITION BY text_id ORDER BY place, n, id) AS rank FROM i JOIN n USING (name) WHERE n <= 5) WHERE rank <= 10"
+)
 def analyze_text(spark, d):
-    texts = A.base(spark, d, "events").select(F.col("event_id").alias("text_id"), F.concat_ws(" ", F.lit("handler of"), "event_type", F.lit("failed in order_7")).alias("text"))
-    return X.analyze_text(texts, A.nodes(spark, d))
+    text = F.concat(F.lit("handler of "), "event_type", F.lit(" broke in order_"), (F.col("event_id") % 50).cast("string"))
+    return X.analyze_text(A.base(spark, d, "events").select(F.col("event_id").alias("text_id"), text.alias("text")), A.nodes(spark, d))
 
 
 # Versions
@@ -365,10 +388,13 @@ def expire_file(spark, d):
     return V.expire_file(A.nodes(spark, d), "src/m3/go.x", "c3").select("id", "valid_to")
 
 
-@query("SELECT id, kind, from_id, to_id FROM edges")
+@query("SELECT id, kind, from_id, to_id, CAST(CASE WHEN ends_with(from_id, '1') AND from_id IN (SELECT id FROM nodes) AND to_id IN (SELECT id FROM nodes) THEN 2.0 ELSE confidence END AS DOUBLE) AS confidence FROM edges_raw WHERE NOT ends_with(from_id, '2') UNION ALL SELECT id, kind, from_id, to_id, 3.0::DOUBLE FROM edges WHERE ends_with(from_id, '2')")
 def edge_upsert_semijoin(spark, d):
-    e = A.edges(spark, d)
-    return V.upsert_edges(e.limit(0), e, A.nodes(spark, d)).select("id", "kind", "from_id", "to_id")
+    """Of new edges some replace old ones and some are new; those without both ends are left out."""
+    e = A.edges(spark, d).withColumn("confidence", F.col("confidence").cast("double"))
+    end = lambda x: F.col("from_id").endswith(x)
+    new = e.filter(end("1") | end("2")).withColumn("confidence", F.when(end("1"), 2.0).otherwise(3.0))
+    return V.upsert_edges(e.filter(~end("2")), new, A.nodes(spark, d)).select("id", "kind", "from_id", "to_id", "confidence")
 
 
 @query("SELECT 'C' || CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_custkey % 3 = 0 THEN upper(c_mktsegment) ELSE c_name END AS name FROM customer", graph=False)
@@ -389,32 +415,81 @@ def delete_nodes(spark, d):
     return V.delete_nodes(n, A.edges(spark, d), n.filter("kind = 'Interface'"))[0].select("id")
 
 
+@query("SELECT id FROM edges_raw WHERE from_id NOT IN (SELECT id FROM nodes WHERE kind = 'Interface') AND to_id NOT IN (SELECT id FROM nodes WHERE kind = 'Interface')")
+def delete_nodes_edges(spark, d):
+    n = A.nodes(spark, d)
+    return V.delete_nodes(n, A.edges(spark, d), n.filter("kind = 'Interface'"))[1].select("id")
+
+
+@query("SELECT 'out' AS side, id, to_id AS other FROM edges_raw WHERE from_id = 'O8' UNION ALL SELECT 'in', id, from_id FROM edges_raw WHERE to_id = 'P10' AND kind = 'CALLS'")
+def edges_at_node(spark, d):
+    e = A.edges(spark, d)
+    out = C.out_edges(e, "O8").select(F.lit("out").alias("side"), "id", F.col("to_id").alias("other"))
+    return out.unionByName(C.in_edges(e, "P10", "CALLS").select(F.lit("in").alias("side"), "id", F.col("from_id").alias("other")))
+
+
+@query("SELECT id, CASE WHEN id = 'C7' THEN 'renamed' ELSE name END AS name FROM nodes WHERE kind = 'Class' UNION ALL SELECT id, name FROM nodes WHERE kind = 'Module'")
+def insert_and_update_nodes(spark, d):
+    n = A.nodes(spark, d).select("id", "kind", "name")
+    base = n.filter("kind = 'Class'")
+    return C.update_properties(C.insert(base, n.filter("kind IN ('Class', 'Module')")), "C7", {"name": "renamed"}).select("id", "name")
+
+
 # Traces
 
-_TRACE = "SELECT event_id AS trace_id, 'Traceback (most recent call last):' || chr(10) || '  File \"src/m' || CAST(event_id % 97 AS VARCHAR) || '/go.x\", line ' || CAST(event_id % 1000 + 1 AS VARCHAR) || ', in ' || event_type || chr(10) || '    x()' || chr(10) || CASE event_type WHEN 'click' THEN 'KeyError: missing key here' WHEN 'view' THEN 'IndexError: 3' WHEN 'error' THEN 'ValueError: bad' ELSE 'MemoryError: out of space' END AS text FROM events"
+_KEY = "CAST(event_id AS VARCHAR)"
+_FILE, _LINE = "'src/m' || CAST(event_id % 97 AS VARCHAR) || '/python.x'", "CAST(event_id % 1000 + 1 AS VARCHAR)"
+_ERR = "CASE event_type WHEN 'click' THEN 'KeyError: missing key here' WHEN 'view' THEN 'IndexError: 3' WHEN 'error' THEN 'ValueError: bad' WHEN 'signup' THEN 'OddFailureError: what' ELSE 'MemoryError: out of space' END"
+#: A trace of each event, in turn of four languages; two frames each.
+_TEXTS = {
+    "python": f"'Traceback (most recent call last):' || chr(10) || '  File \"' || {_FILE} || '\", line ' || {_LINE} || ', in ' || event_type || chr(10) || '    x()' || chr(10) || '  File \"lib/z.py\", line 7, in Foo.run' || chr(10) || '    y()' || chr(10) || {_ERR}",
+    "java": f"'java.lang.IllegalArgumentException: bad argument ' || {_KEY} || chr(10) || chr(9) || 'at com.x.Foo.run(Foo.java:' || {_LINE} || ')' || chr(10) || chr(9) || 'at com.x.Bar.nat(Native Method)' || chr(10)",
+    "cpp": f"'terminate called' || chr(10) || 'std::bad_alloc: out of memory' || chr(10) || '#0  0x0001 in ns::Foo::bar (this=0x0) at src/foo.cpp:' || {_LINE} || chr(10) || '#1  main () at src/main.cpp:3' || chr(10)",
+    "rust": f"'thread main panicked at src/main.rs:' || {_LINE} || ':5:' || chr(10) || 'called unwrap' || chr(10) || 'stack backtrace:' || chr(10) || '   0: app::work::go' || chr(10) || '             at src/work.rs:4' || chr(10)",
+}
+_TRACE = "SELECT event_id, event_type, " + _KEY + " AS trace_id, CASE event_id % 4 " + " ".join(f"WHEN {i} THEN {t}" for i, t in enumerate(_TEXTS.values())) + " END AS text FROM events"
+#: (event_id % 4, frame, function, class, file, line) by construction.
+_EXPECTED = [
+    (0, 0, "event_type", "NULL", _FILE, "event_id % 1000 + 1"), (0, 1, "'run'", "'Foo'", "'lib/z.py'", "7"), (1, 0, "'run'", "'com.x.Foo'", "'Foo.java'", "event_id % 1000 + 1"), (1, 1, "'nat'", "'com.x.Bar'", "'Native Method'", "NULL"),
+    (2, 0, "'bar'", "'ns::Foo'", "'src/foo.cpp'", "event_id % 1000 + 1"), (2, 1, "'main'", "NULL", "'src/main.cpp'", "3"), (3, 0, "'panic'", "NULL", "'src/main.rs'", "event_id % 1000 + 1"), (3, 1, "'go'", "'app::work'", "'src/work.rs'", "4"),
+]
+_FRAME_ROWS = " UNION ALL ".join(f"SELECT {_KEY} AS trace_id, {i} AS frame_index, {f} AS function_name, {c} AS class_name, {p} AS file_path, CAST({n} AS INT) AS line_number, event_id FROM events WHERE event_id % 4 = {k}" for k, i, f, c, p, n in _EXPECTED)
+_ERROR_ROWS = (
+    f"SELECT trace_id, language, error_type, message FROM (SELECT {_KEY} AS trace_id, CASE event_id % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'java' WHEN 2 THEN 'cpp' ELSE 'rust' END AS language, "
+    f"CASE event_id % 4 WHEN 0 THEN string_split({_ERR}, ': ')[1] WHEN 1 THEN 'java.lang.IllegalArgumentException' WHEN 2 THEN 'std::bad_alloc' ELSE 'panic' END AS error_type, "
+    f"CASE event_id % 4 WHEN 0 THEN string_split({_ERR}, ': ')[2] WHEN 1 THEN 'bad argument ' || {_KEY} WHEN 2 THEN 'out of memory' ELSE 'src/main.rs:' || {_LINE} || ':5:' END AS message FROM events)"
+)
+_CATEGORY = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(error_type || ' ' || message), '{w.lower()}')" for w in words) + f" THEN '{name}'" for name, words in Y.CATEGORIES.items()) + " ELSE 'unknown' END"
 
 
 def _traces(spark, d):
-    s = lambda c: F.col(c).cast("string")
-    err = F.when(F.col("event_type") == "click", "KeyError: missing key here").when(F.col("event_type") == "view", "IndexError: 3").when(F.col("event_type") == "error", "ValueError: bad").otherwise("MemoryError: out of space")
-    ev = A.base(spark, d, "events").withColumn("a", F.col("event_id") % 97).withColumn("b", F.col("event_id") % 1000 + 1)
-    text = F.concat(F.lit('Traceback (most recent call last):\n  File "src/m'), s("a"), F.lit('/go.x", line '), s("b"), F.lit(", in "), "event_type", F.lit("\n    x()\n"), err)
-    return ev.select(F.col("event_id").cast("string").alias("trace_id"), text.alias("text"))
+    return spark.sql(f"SELECT trace_id, text FROM ({_TRACE.replace(' FROM events', ' FROM {events}')})".replace("VARCHAR", "STRING"), events=A.base(spark, d, "events"))
 
 
-@query(f"SELECT CAST(trace_id AS VARCHAR) AS trace_id, 0 AS frame_index, regexp_extract(text, 'in ([a-z]+)', 1) AS function_name, regexp_extract(text, 'File \"([^\"]+)\"', 1) AS file_path, CAST(regexp_extract(text, 'line ([0-9]+)', 1) AS INT) AS line_number FROM ({_TRACE})", graph=False)
+@query(f"SELECT trace_id, CAST(frame_index AS INT) AS frame_index, function_name, class_name, file_path, line_number FROM ({_FRAME_ROWS})", graph=False)
 def trace_frames(spark, d):
-    return C.frames(_traces(spark, d)).select("trace_id", "frame_index", "function_name", "file_path", "line_number")
+    return Y.frames(_traces(spark, d)).select("trace_id", "frame_index", "function_name", "class_name", "file_path", "line_number")
 
 
-@query(f"SELECT CAST(trace_id AS VARCHAR) AS trace_id, regexp_extract(text, '([A-Za-z]+Error): ', 1) AS error_type, regexp_extract(text, 'Error: (.*)$', 1) AS message, CASE WHEN contains(text, 'KeyError') THEN 'key_error' WHEN contains(text, 'IndexError') THEN 'index_out_of_bounds' WHEN contains(text, 'MemoryError') THEN 'memory' ELSE 'unknown' END AS category FROM ({_TRACE})", graph=False)
+@query(f"SELECT *, {_CATEGORY} AS category FROM ({_ERROR_ROWS})", graph=False)
 def error_category(spark, d):
-    return C.errors(_traces(spark, d)).select("trace_id", "error_type", "message", C.category(F.col("error_type"), F.col("message")).alias("category"))
+    return Y.errors(_traces(spark, d)).select("trace_id", "language", "error_type", "message", Y.category(F.col("error_type"), F.col("message")).alias("category"))
+
+
+_LANG_OF = "CASE event_id % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'java' WHEN 2 THEN 'cpp' ELSE 'rust' END"
 
 
-@query()
+@query(
+    f", f AS ({_FRAME_ROWS}), g AS (SELECT *, {_LANG_OF} AS flang FROM f), loc AS (SELECT trace_id, frame_index, arg_max(id, (start_line, -row_)) AS p FROM (SELECT g.trace_id, frame_index, c.id, c.start_line, row_number() OVER (ORDER BY c.id) AS row_ FROM g JOIN cur c ON c.lang = flang AND ends_with(c.file_path, g.file_path) AND line_number BETWEEN c.start_line AND c.end_line) GROUP BY ALL), "
+    "want AS (SELECT DISTINCT flang, function_name FROM g), nam AS (SELECT flang, function_name, id AS n FROM (SELECT flang, function_name, c.id, row_number() OVER (PARTITION BY flang, function_name ORDER BY CASE WHEN name = function_name OR qualified_name = function_name THEN 0 ELSE 1 END, qualified_name, c.id) AS r FROM want JOIN cur c ON c.lang = flang AND kind IN ('Function', 'Method', 'Constructor') AND (name = function_name OR contains(qualified_name, function_name))) WHERE r = 1), "
+    "m AS (SELECT g.trace_id, g.frame_index, coalesce(p, n) AS node_id FROM g LEFT JOIN loc ON loc.trace_id = g.trace_id AND loc.frame_index = g.frame_index LEFT JOIN nam ON nam.flang = g.flang AND nam.function_name = g.function_name), "
+    "k AS (SELECT trace_id, CAST(count(*) AS BIGINT) AS total_frames, CAST(count(node_id) AS BIGINT) AS mapped_frames, max(CASE WHEN frame_index = 0 AND node_id IS NOT NULL THEN 1 ELSE 0 END) AS first_ FROM m GROUP BY trace_id), "
+    f"e AS (SELECT *, {_CATEGORY} AS category FROM ({_ERROR_ROWS})) "
+    "SELECT trace_id, category, " + "CASE category " + " ".join(f"WHEN '{c}' THEN '{s}'" for c, s in Y.SEVERITY.items()) + " ELSE 'medium' END AS severity, "
+    "round(least(1.0::DOUBLE, 0.5::DOUBLE + CASE WHEN category <> 'unknown' THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN first_ = 1 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN length(message) > 10 THEN 0.1::DOUBLE ELSE 0 END), 6) AS confidence, total_frames, mapped_frames FROM e JOIN k USING (trace_id)"
+)
 def trace_report(spark, d):
-    return C.report(_traces(spark, d), A.nodes(spark, d))
+    return Y.report(_traces(spark, d), A.nodes(spark, d)).select("trace_id", "category", "severity", "confidence", "total_frames", "mapped_frames")
 
 
 # Streaming, evaluation, summaries
@@ -467,23 +542,105 @@ def _sources(spark, d):
     return one.unionByName(parts.select(F.concat(F.lit("src/p"), k, F.lit(".py")).alias("path"), F.lit("python").alias("lang"), python.cast("binary").alias("content")))
 
 
-@query("SELECT kind, name, 'c1' AS valid_from FROM (SELECT CAST(p_partkey AS VARCHAR) AS k FROM part) p, LATERAL (SELECT 'Class' AS kind, 'J' || k AS name UNION ALL SELECT 'Method', 'f' || k UNION ALL SELECT 'Class', 'P' || k UNION ALL SELECT 'Function', 'g' || k)", graph=False)
+_K, _UP = "CAST(p_partkey AS VARCHAR)", "CAST(p_partkey // 2 AS VARCHAR)"
+
+
+def _sid(path: str, kind: str, qualified: str) -> str:
+    return f"substr(sha256('p:' || {path} || ':{kind}:' || {qualified}), 1, 24)"
+
+
+#: Symbols of the generated files: (language, kind, letter, first and last line).
+_SYMBOLS = [("java", "Class", "J", 2, 4), ("java", "Method", "f", 3, 3), ("python", "Class", "P", 2, 5), ("python", "Function", "g", 3, 5)]
+
+
+def _path_of(lang: str, key: str = _K) -> str:
+    return f"'src/J' || {key} || '.java'" if lang == "java" else f"'src/p' || {key} || '.py'"
+
+
+def _symbol_id(lang: str, kind: str, letter: str, key: str = _K) -> str:
+    return _sid(_path_of(lang, key), kind, f"'{'J' if lang == 'java' else 'p'}' || {key} || '.{letter}' || {key}")
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT {_symbol_id(l, k, x)} AS id, '{k}' AS kind, '{x}' || {_K} AS name, CAST({a} AS INT) AS start_line, CAST({b} AS INT) AS end_line, {'NULL' if k == 'Class' else chr(39) + x + chr(39) + ' || ' + _K + (' || ' + chr(39) + '(int a)' + chr(39) if l == 'java' else ' || ' + chr(39) + '(self, n)' + chr(39))} AS signature FROM part"
+        for l, k, x, a, b in _SYMBOLS
+    ),
+    graph=False,
+)
 def extract_nodes(spark, d):
-    return P.nodes_of(P.extract(_sources(spark, d)), "p", "c1").select("kind", "name", "valid_from")
+    return P.nodes_of(P.extract(_sources(spark, d)), "p", "c1").select("id", "kind", "name", "start_line", "end_line", "signature")
+
+
+#: The generated files' edges between symbols: (kind, language, kind of both ends, letter, confidence).
+_LINKS = [("CALLS", "java", "Method", "f", 0.7), ("CALLS", "python", "Function", "g", 0.7), ("EXTENDS", "java", "Class", "J", 0.0), ("INHERITS", "python", "Class", "P", 0.0)]
+_LINK_ROWS = " UNION ALL ".join(f"SELECT '{e}' AS kind, {_symbol_id(l, k, x)} AS from_id, {_symbol_id(l, k, x, _UP)} AS to_id, {c}::DOUBLE AS confidence FROM part{'' if e == 'CALLS' else ' WHERE p_partkey > 0'}" for e, l, k, x, c in _LINKS)
 
 
-@query("SELECT 'CALLS' AS kind, x || p_partkey AS source, x || (p_partkey // 2) AS target FROM part, (VALUES ('f'), ('g')) v(x) UNION ALL SELECT CASE x WHEN 'J' THEN 'EXTENDS' ELSE 'INHERITS' END, x || p_partkey, x || (p_partkey // 2) FROM part, (VALUES ('J'), ('P')) v(x) WHERE p_partkey > 0", graph=False)
+@query(f"SELECT kind, from_id, to_id, confidence, substr(sha256(from_id || ':' || kind || ':' || to_id || ':::' || CAST(confidence AS VARCHAR)), 1, 24) AS id FROM ({_LINK_ROWS})", graph=False)
 def resolve_references(spark, d):
     raw = P.extract(_sources(spark, d)).persist()  # read by several branches
-    n = P.nodes_of(raw, "p", "c1")
-    name = lambda end, to: n.select(F.col("id").alias(end), F.col("name").alias(to))
-    return P.resolve(raw, n).join(name("from_id", "source"), "from_id").join(name("to_id", "target"), "to_id").select("kind", "source", "target")
+    return P.resolve(raw, P.nodes_of(raw, "p", "c1"), "p", "c1").select("kind", "from_id", "to_id", "confidence", "id")
 
 
-@query("SELECT block_type, count(*) AS n FROM part, (VALUES ('if'), ('for')) v(block_type) GROUP BY block_type", graph=False)
+@query(
+    " UNION ALL ".join(
+        f"SELECT substr(sha256({_path_of(l)} || ':{t}:' || {_symbol_id(l, k, x)} || ':{a}'), 1, 24) AS id, '{t}' AS block_type, {_symbol_id(l, k, x)} AS parent_function_id, CAST({a} AS INT) AS start_line, CAST({b} AS INT) AS end_line, CAST(1 AS INT) AS nesting_depth FROM part"
+        for l, k, x, t, a, b in [("java", "Method", "f", "if", 3, 3), ("python", "Function", "g", "for", 4, 5)]
+    ),
+    graph=False,
+)
 def extract_blocks(spark, d):
-    raw = P.extract(_sources(spark, d))
-    return P.blocks_of(raw, P.nodes_of(raw, "p", "c1"), "c1").groupBy("block_type").agg(F.count(F.lit(1)).alias("n"))
+    return P.blocks_of(P.extract(_sources(spark, d)), "p", "c1").select("id", "block_type", "parent_function_id", "start_line", "end_line", "nesting_depth")
+
+
+_FILE_ID = {x: f"substr(sha256('p:' || {_path_of(x)} || ':File:' || {_path_of(x)}), 1, 24)" for x in ("java", "python")}
+
+
+@query(
+    " UNION ALL ".join(
+        [f"SELECT 'CONTAINS_CLASS' AS kind, {_FILE_ID[l]} AS from_id, {_symbol_id(l, 'Class', x)} AS to_id FROM part" for l, x in (("java", "J"), ("python", "P"))]
+        + [f"SELECT 'CONTAINS_METHOD', {_symbol_id(l, 'Class', c)}, {_symbol_id(l, k, x)} FROM part" for l, c, k, x in (("java", "J", "Method", "f"), ("python", "P", "Function", "g"))]
+    ),
+    graph=False,
+)
+def containment_edges(spark, d):
+    return P.containment(P.extract(_sources(spark, d)), "p", "c1").select("kind", "from_id", "to_id")
+
+
+@query(
+    f"SELECT 'IMPORTS' AS kind, {_FILE_ID['java']} AS from_id, substr(sha256('import:lib.X' || {_K}), 1, 24) AS to_id, 'lib.X' || {_K} AS label FROM part UNION ALL SELECT 'DEPENDS_ON', {_FILE_ID['java']}, substr(sha256('import:lib.X' || {_K}), 1, 24), 'lib.X' || {_K} FROM part UNION ALL SELECT 'IMPORTS', {_FILE_ID['python']}, substr(sha256('import:os'), 1, 24), 'os' FROM part",
+    graph=False,
+)
+def outward_edges(spark, d):
+    return P.outward_edges(P.extract(_sources(spark, d)), "p", "c1").select("kind", "from_id", "to_id", "label")
+
+
+@query("SELECT 'f' || CAST(p_partkey AS VARCHAR) AS name, CAST(CASE WHEN p_partkey // 2 = 3 THEN 1 ELSE 2 END AS INT) AS depth FROM part WHERE p_partkey // 2 = 3 OR p_partkey // 4 = 3", graph=False)
+def index_then_callers(spark, d):
+    """From files to a graph, and callers in it."""
+    files = _sources(spark, d)
+    raw = P.extract(files).persist()
+    g = I.from_raw(raw, files, "p", "c1")
+    seed = S_.node_id(*[F.lit(x) for x in ("p", "src/J3.java", "Method", "J3.f3")])
+    start = g["nodes"].filter(F.col("id") == seed).select(F.col("id").alias("seed_id"))
+    found = G.reach_live(g["nodes"], g["edges"], start, G.CALL_KINDS, "in", 2)
+    return g["nodes"].join(found, "id").select("name", "depth")
+
+
+@query(
+    "WITH s AS (SELECT p_partkey AS k, x FROM part, (VALUES ('J'), ('f')) v(x)) SELECT x || CAST(k AS VARCHAR) AS name, 'c1' AS valid_from, CASE WHEN k % 7 = 0 OR k % 5 = 0 THEN 'c2' END AS valid_to FROM s WHERE k % 11 <> 0 "
+    "UNION ALL SELECT x || CAST(k AS VARCHAR), 'c2', NULL FROM s WHERE k % 7 <> 0 AND (k % 5 = 0 OR k % 11 = 0)",
+    graph=False,
+)
+def update_between_commits(spark, d):
+    """Two generated commits: of the files some are new, some gone, some have another body; the stored history after the update."""
+    java = _sources(spark, d).filter("lang = 'java'").withColumn("k", F.regexp_extract("path", r"(\d+)", 1).cast("long"))
+    old = java.filter("k % 11 <> 0").drop("k")
+    body = F.when(F.col("k") % 5 == 0, F.regexp_replace(F.decode("content", "UTF-8"), "return 0;", "return 1;")).otherwise(F.decode("content", "UTF-8"))
+    new = java.filter("k % 7 <> 0").withColumn("content", body.cast("binary")).drop("k")
+    before, after = (P.nodes_of(P.extract(f), "p", c) for f, c in ((old, "c1"), (new, "c2")))
+    return V.apply_changes(before, after, V.snapshot_diff(before, after, order="start_byte"), "c2").select("name", "valid_from", "valid_to")
 
 
 @query("SELECT p_partkey, p_partkey % 3 = 0 OR (p_partkey % 3 = 1 AND p_partkey % 2 = 0) AS ignored FROM part", graph=False)
@@ -493,8 +650,28 @@ def walk_ignore(spark, d):
     return A.base(spark, d, "part").select("p_partkey", D.ignored(path, D.parse_rules("build/\n/gen/*\n!gen/keep\n")).alias("ignored"))
 
 
-@query("SELECT CASE ends_with(p, '.py') WHEN true THEN 'python' ELSE 'java' END AS lang, count(*) AS n FROM (SELECT 'x' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '.py' ELSE '.java' END AS p FROM part) GROUP BY 1", graph=False)
+_EXT = ", ".join(f"('{e}', '{lang}')" for e, lang in D.EXTENSIONS.items())
+_NAMES_OF = "(VALUES " + ", ".join(f"({i}, '{e}')" for i, e in enumerate([*D.EXTENSIONS, "txt", "pyi"])) + ") n(i, e)"
+
+
+@query(f"SELECT p_partkey, lang FROM part JOIN {_NAMES_OF} ON i = p_partkey % {len(D.EXTENSIONS) + 2} LEFT JOIN (VALUES {_EXT}) x(ext, lang) ON ext = e", graph=False)
 def detect_language(spark, d):
     k = F.col("p_partkey")
-    path = F.concat(F.lit("x"), k.cast("string"), F.when(k % 2 == 0, ".PY").otherwise(".java"))
-    return A.base(spark, d, "part").groupBy(D.language(path).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
+    exts = F.array(*[F.lit(e) for e in [*D.EXTENSIONS, "txt", "pyi"]])
+    ext = F.get(exts, (k % (len(D.EXTENSIONS) + 2)).cast("int"))
+    path = F.concat(F.lit("a.b/x"), k.cast("string"), F.lit("."), F.when(k % 2 == 0, F.upper(ext)).otherwise(ext))
+    return A.base(spark, d, "part").select("p_partkey", D.language(path).alias("lang"))
+
+
+_PARTS = ["src", ".svn", "vendor", "venv", "out", ".gradle", "target", "lib"]
+_FILES = ["a.py", "b.pyo", "c.dll", "d.lock", "e.min.js", "f.class", "g.java"]
+
+
+@query(
+    f"SELECT p_partkey, list_contains(['.svn', 'venv', '.gradle', 'target'], p) OR regexp_matches(f, '[.](pyo|dll|class)$') AS ignored FROM (SELECT p_partkey, list_extract({_PARTS}, CAST(1 + p_partkey % {len(_PARTS)} AS INT)) AS p, list_extract({_FILES}, CAST(1 + p_partkey % {len(_FILES)} AS INT)) AS f FROM part)",
+    graph=False,
+)
+def walk_default_rules(spark, d):
+    pick = lambda xs: F.get(F.array(*[F.lit(x) for x in xs]), (F.col("p_partkey") % len(xs)).cast("int"))
+    path = F.concat(F.lit("top/"), pick(_PARTS), F.lit("/"), pick(_FILES))
+    return A.base(spark, d, "part").select("p_partkey", D.ignored(path, D.ignore_rules(None)).alias("ignored"))

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from ..functions.workers import prepare
 
 #: File extension -> language (fixed values).
-EXTENSIONS = {"java": "java", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "c": "cpp", "h": "cpp", "hpp": "cpp", "hxx": "cpp", "rs": "rust", "py": "python", "pyi": "python", "ts": "typescript", "tsx": "tsx", "jsx": "tsx", "go": "go"}
+EXTENSIONS = {"cpp": "cpp", "cxx": "cpp", "cc": "cpp", "c": "cpp", "hpp": "cpp", "hxx": "cpp", "hh": "cpp", "h": "cpp", "java": "java", "rs": "rust", "go": "go", "py": "python", "ts": "typescript", "tsx": "tsx", "jsx": "tsx"}
 #: Directories that no walk enters (fixed values).
-EXCLUDED = ("node_modules", "build", "dist", "target", "out", "venv", "__pycache__", "vendor", "third_party")
+EXCLUDED = (".git", "__pycache__", "node_modules", "target", "build", "dist", ".gradle", ".idea", ".vscode")
+#: Directories that a folder scan leaves out; it enters other dot directories and reads no ignore file (fixed values).
+FOLDER_EXCLUDED = (".git", ".venv", "venv", "__pycache__", "node_modules", "target", "build", "dist", ".idea", ".vscode", ".pytest_cache")
 #: Ignore rules where a tree has no ignore file (fixed values).
-DEFAULT_RULES = ["node_modules/", "build/", "dist/", "target/", "out/", "venv/", "__pycache__/", "vendor/", ".git/", ".idea/", ".vscode/", "*.pyc", "*.class", "*.o", "*.so", "*.min.js", "*.lock", "*.log", "*.tmp"]
+DEFAULT_RULES = [".git/", ".svn/", ".hg/", "__pycache__/", "node_modules/", "target/", "build/", "dist/", ".gradle/", ".idea/", ".vscode/", "venv/", ".venv/", "*.pyc", "*.pyo", "*.class", "*.o", "*.so", "*.dll"]
 
 
 @dataclass(frozen=True)
@@ -102,24 +108,112 @@ def extensions_by_language(spark: SparkSession) -> DataFrame:
     return rows.groupBy("lang").agg(F.array_join(F.array_sort(F.collect_list("ext")), ", ").alias("extensions"))
 
 
-def walk(spark: SparkSession, root: str, rules: list[Rule] | None = None, excluded: tuple[str, ...] = EXCLUDED, lang: str | None = None, recursive: bool = True, keep_empty: bool = False) -> DataFrame:
-    """files(path relative to root, lang, content): known extensions, no excluded or dot directories, nothing ignored; blank files go."""
-    from urllib.parse import urlparse
+def unsupported(path: Column) -> Column:
+    """Whether a path's extension is no known one."""
+    return language(path).isNull()
+
+
+class _Files(InputPartition):
+    def __init__(self, paths: list[str]) -> None:
+        self.paths = paths
+
+
+class _TreeReader(DataSourceReader):
+    """The driver lists names, entering no directory that is left out; tasks read contents, of known extensions alone."""
+
+    def __init__(self, options: dict) -> None:
+        self.root, self.per_task = options["root"], int(options.get("files_per_task", 200))
+        self.excluded, self.dot_dirs, self.recursive = set(json.loads(options.get("excluded", "[]"))), options.get("dot_dirs") == "true", options.get("recursive", "true") == "true"
+
+    def _fs(self):
+        from pyarrow.fs import FileSystem
+
+        return FileSystem.from_uri(self.root if "://" in self.root or self.root.startswith("file:") else "file://" + self.root)
+
+    def partitions(self) -> list[_Files]:
+        from pyarrow.fs import FileSelector, FileType
+
+        fs, top = self._fs()
+        todo, found = [top], []
+        while todo:
+            for x in fs.get_file_info(FileSelector(todo.pop())):
+                if x.type == FileType.Directory:
+                    if self.recursive and x.base_name not in self.excluded and (self.dot_dirs or not x.base_name.startswith(".")):
+                        todo.append(x.path)
+                elif x.extension.lower() in EXTENSIONS:
+                    found.append(x.path)
+        found.sort()
+        return [_Files(found[i : i + self.per_task]) for i in range(0, len(found), self.per_task)] or [_Files([])]
+
+    def read(self, part: _Files):
+        fs, top = self._fs()
+        for p in part.paths:
+            with fs.open_input_stream(p) as f:
+                content = f.read()
+            yield p[len(top) :].lstrip("/"), len(content), content
 
-    top = urlparse(root).path.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(root)
-    rel = F.substring_index(F.col("path"), top + "/", -1)
-    files = files.select(rel.alias("path"), "content").withColumn("lang", language(F.col("path"))).filter(F.col("lang").isNotNull())
+
+class SourceTree(DataSource):
+    """Files of known extensions under a root, also those that start with an underscore: options root, excluded (a JSON list), dot_dirs, recursive, files_per_task."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "source_tree"
+
+    def schema(self) -> str:
+        return "path string, length bigint, content binary"
+
+    def reader(self, schema) -> _TreeReader:
+        return _TreeReader(dict(self.options))
+
+
+def chosen(files: DataFrame, rules: list[Rule] | None = None, excluded: tuple[str, ...] = EXCLUDED, dot_dirs: bool = False, lang: str | None = None, exclude_globs: tuple[str, ...] = ()) -> DataFrame:
+    """Files (path, ...) that a walk keeps, with ``lang``: known extensions, no excluded directories, nothing ignored."""
+    files = files.withColumn("lang", language(F.col("path"))).filter(F.col("lang").isNotNull())
     skip = "|".join(re.escape(x) for x in excluded)
-    files = files.filter(~F.col("path").rlike(rf"(?:^|/)(?:\.[^/]+|{skip})/"))
+    names = skip if dot_dirs else rf"\.[^/]+|{skip}"
+    files = files.filter(~F.col("path").rlike(rf"(?:^|/)(?:{names})/")) if names else files
     files = files.filter(~ignored(F.col("path"), ignore_rules(None) if rules is None else rules))
-    if lang is not None:
-        files = files.filter(F.col("lang") == lang)
+    for g in exclude_globs:  # of whole paths or of names, as fnmatch has it: * crosses slashes
+        rx = re.escape(g).replace(r"\*", ".*").replace(r"\?", ".")
+        files = files.filter(~(F.col("path").rlike(f"^{rx}$") | F.regexp_extract("path", r"([^/]+)$", 1).rlike(f"^{rx}$")))
+    return files if lang is None else files.filter(F.col("lang") == lang)
+
+
+def walk(
+    spark: SparkSession, root: str, rules: list[Rule] | None = None, excluded: tuple[str, ...] = EXCLUDED, lang: str | None = None, recursive: bool = True, keep_empty: bool = False,
+    exclude_globs: tuple[str, ...] = (), dot_dirs: bool = False,
+) -> DataFrame:
+    """files(path relative to root, lang, content): known extensions, no excluded or dot directories, nothing ignored; blank files go.
+
+    No file of another extension, and none in a directory that is left out, is opened.
+    """
+    prepare(spark)
+    spark.dataSource.register(SourceTree)
+    reader = spark.read.format("source_tree").option("root", root).option("excluded", json.dumps(list(excluded)))
+    files = reader.option("dot_dirs", str(dot_dirs).lower()).option("recursive", str(recursive).lower()).load()
+    files = chosen(files, rules, excluded, dot_dirs, lang, exclude_globs)
     if not keep_empty:
-        files = files.filter(F.decode("content", "ISO-8859-1").rlike(r"\S"))
+        files = files.filter((F.col("length") > 0) & F.decode("content", "ISO-8859-1").rlike(r"\S"))
     return files.select("path", "lang", "content")
 
 
+def index_folder_files(spark: SparkSession, root: str) -> DataFrame:
+    """The folder scan: its own list of directories, dot directories included, no ignore file."""
+    return walk(spark, root, rules=[], excluded=FOLDER_EXCLUDED, dot_dirs=True)
+
+
+def parse_file(spark: SparkSession, path: str) -> DataFrame:
+    """One file as files(path, lang, content); an error if it is missing or of an unknown extension."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
+        raise FileNotFoundError(path)
+    ext = path.rpartition("/")[2].rpartition(".")[2].lower()
+    if ext not in EXTENSIONS:
+        raise ValueError(f"unsupported extension of {path!r}; languages: {', '.join(sorted(set(EXTENSIONS.values())))}")
+    return spark.read.format("binaryFile").load(path).select(F.lit(path).alias("path"), F.lit(EXTENSIONS[ext]).alias("lang"), "content")
+
+
 def texts(spark: SparkSession, path: str) -> DataFrame:
     """Whole text files: (path, text)."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))

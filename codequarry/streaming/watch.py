@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 #: Extensions whose changes count (fixed values; more than extraction reads).
-WATCHED = ("java cpp cc cxx c h hpp hxx rs py pyi ts tsx js jsx mjs go kt kts scala rb php cs swift m mm lua").split()
+WATCHED = ("py java cpp cc cxx c h hpp hxx rs ts tsx js jsx go cs rb php swift kt kts scala ex exs erl hs").split()
 
 
 def is_source(path: Column) -> Column:
@@ -32,7 +32,8 @@ def debounce(events: DataFrame, gap: str = "2 seconds", keys: tuple[str, ...] =
 
 def watch(events: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, gap: str = "2 seconds", lateness: str = "10 seconds", available_now: bool = False) -> StreamingQuery:
     """Start a query that calls ``apply`` with each micro-batch of finished bursts; batch ids let it skip a repeat."""
-    # A stream's session windows need one more grouping key; this one is the same for all rows.
-    timed = paths_of(events).withColumn("watch", F.expr("left(path, 0)")).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
+    # A stream's session windows need one more grouping key: the watched root, so each root's bursts are a task's of their own.
+    timed = paths_of(events)
+    timed = timed.withColumn("watch", F.col("root") if "root" in timed.columns else F.expr("left(path, 0)")).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
     writer = debounce(timed, gap, ("watch",)).drop("watch").writeStream.outputMode("append").foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -1,4 +1,4 @@
-"""Every query with SQL gives DuckDB's rows on the smallest tables."""
+"""Every query with SQL gives DuckDB's rows on the smallest tables; the others give rows."""
 
 import duckdb
 import pytest
@@ -6,6 +6,8 @@ import pytest
 from codequarry.catalog import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
+#: Queries whose answer may be no rows on the smallest tables.
+MAY_BE_EMPTY = {"find_overrides", "ambiguity_report"}
 
 
 @pytest.fixture(scope="module")
@@ -16,7 +18,7 @@ def duck():
     return c
 
 
-def _norm(rows):
+def norm(rows):
     return sorted(tuple(f"{x:.6f}" if isinstance(x, float) else str(x) for x in r) for r in rows)
 
 
@@ -28,9 +30,10 @@ def test_oracle(spark, duck, name):
     want = duck.sql(ORACLE_SQL[name])
     assert sorted(want.columns) == cols
     rows = [tuple(r[want.columns.index(c)] for c in cols) for r in want.fetchall()]
-    assert _norm(got) == _norm(rows)
+    assert norm(got) == norm(rows)
+    assert rows or name in MAY_BE_EMPTY
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, SF).columns
+    assert QUERIES[name](spark, SF).collect()

@@ -27,3 +27,8 @@ def markdown(rows: DataFrame) -> DataFrame:
     where = F.concat(F.lit("`"), "file_path", F.lit(":"), F.col("start_line").cast("string"), F.lit("`"))
     score = F.when(F.col("score") > 0, F.concat(F.lit("score "), F.format_number("score", 3)))
     return rows.select(F.concat(F.lit("- "), F.concat_ws(" ", F.concat(F.lit("**"), "qualified_name", F.lit("**")), F.concat(F.lit("("), "kind", F.lit(")")), where, score)).alias("value"))
+
+
+def table_lines(rows: DataFrame, width: int = 40) -> DataFrame:
+    """One aligned line per row for people: every column cut or padded to ``width``."""
+    return rows.select(F.rtrim(F.concat_ws(" ", *[F.rpad(F.coalesce(F.col(c).cast("string"), F.lit("")), width, " ") for c in rows.columns])).alias("value"))

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 TABLES = ("nodes", "edges", "edges_raw", "blocks", "vectors", "files", "terms", "summaries")
 
 
-_POINTER = "at BIGINT, commit STRING, tables MAP<STRING, STRING>"
+_POINTER = "at BIGINT, commit STRING, tables MAP<STRING, STRING>, schemas MAP<STRING, STRING>"
 
 
 class GraphStore:
@@ -30,12 +32,12 @@ class GraphStore:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
 
-    def current(self) -> tuple[str, dict[str, str]] | None:
-        """(commit, folder of each table) of the newest version; None before the first."""
+    def current(self) -> tuple[str, dict[str, str], dict[str, str]] | None:
+        """(commit, folder and schema of each table) of the newest version; None before the first."""
         if not self._exists(f"{self.root}/current_version"):
             return None
         r = self._pointers().orderBy(F.desc("at")).first()
-        return (r.commit, r.tables) if r else None
+        return (r.commit, r.tables, r.schemas) if r else None
 
     def write(self, commit: str, **tables: DataFrame) -> None:
         """Write a version; tables that aren't given are those of the version before."""
@@ -43,14 +45,14 @@ class GraphStore:
         if unknown:
             raise ValueError(f"unknown tables {sorted(unknown)}")
         before = self.current()
-        folders = dict(before[1]) if before else {}
+        folders, schemas = (dict(before[1]), dict(before[2])) if before else ({}, {})
         version = uuid.uuid4().hex
         for name, df in tables.items():
-            folders[name] = f"{self.root}/{name}/v-{version}"
+            folders[name], schemas[name] = f"{self.root}/{name}/v-{version}", df.schema.json()
             w = df.write.mode("errorifexists")
             (w.partitionBy("lang") if name == "nodes" and "lang" in df.columns else w).parquet(folders[name])
         at = (self._pointers().agg(F.max("at")).first()[0] + 1) if before else 0
-        self.spark.createDataFrame([(at, commit, folders)], _POINTER).coalesce(1).write.mode("append").parquet(f"{self.root}/current_version")
+        self.spark.createDataFrame([(at, commit, folders, schemas)], _POINTER).coalesce(1).write.mode("append").parquet(f"{self.root}/current_version")
 
     def load(self, commit: str, **tables: DataFrame) -> None:
         """A full load: every row is stamped with the commit and live."""
@@ -65,8 +67,7 @@ class GraphStore:
         now = self.current()
         if now is None or name not in now[1]:
             return None
-        df = self.spark.read.parquet(now[1][name])
-        return df.withColumn("lang", F.col("lang").cast("string")) if name == "nodes" and "lang" in df.columns else df
+        return self.spark.read.schema(StructType.fromJson(json.loads(now[2][name]))).parquet(now[1][name])
 
     def changes(self, table: str, rows: DataFrame, commit: str) -> None:
         """Replace one table, as a commit of its own."""
@@ -162,7 +163,7 @@ class GraphStore:
         if r is None:
             raise ValueError(f"no version of {commit!r}")
         at = self._pointers().agg(F.max("at")).first()[0] + 1
-        self.spark.createDataFrame([(at, commit, r.tables)], _POINTER).coalesce(1).write.mode("append").parquet(f"{self.root}/current_version")
+        self.spark.createDataFrame([(at, commit, r.tables, r.schemas)], _POINTER).coalesce(1).write.mode("append").parquet(f"{self.root}/current_version")
 
 
 #: What a code graph is looked up by: name, kind, table, columns.

@@ -40,7 +40,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that with the smallest doc_id; of repeated rows, one."""
+    """One document of each near-duplicate group: that with the smallest doc_id; of repeated rows, one.
+
+    Shingles have five words, as everywhere but in query op9, whose contract has four.
+    """
     got = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     mine = docs.withColumn("_h", F.xxhash64("text"))
     kept = mine.join(got, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & F.col("_h").eqNullSafe(F.col("_hash")))
@@ -48,7 +51,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that a document of smaller doc_id has; texts that lose no word stay as they are."""
+    """Texts without the passages that a document of smaller doc_id has; what is left keeps its lines, and texts that lose no word stay as they are."""
     got = cut_duplicates(docs, carry=True)
     got = got.withColumn("_text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("carried.text")))
     return _with_text(got, docs, "_text")

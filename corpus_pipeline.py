@@ -44,10 +44,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Shingles have five words, as everywhere but in query op9, whose contract has four.
     """
-    got = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    mine = docs.withColumn("_h", F.xxhash64("text"))
-    kept = mine.join(got, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & F.col("_h").eqNullSafe(F.col("_hash")))
-    return kept.dropDuplicates(["doc_id", "_h"]).select(*docs.columns)
+    got = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
+    mine = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("carried"), F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("hash"))
+    kept = mine.join(got, F.col("id").eqNullSafe(F.col("kept_id")) & F.col("hash").eqNullSafe(F.col("kept_hash")))
+    return kept.dropDuplicates(["id", "hash"]).select("carried.*")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

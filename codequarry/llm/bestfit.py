@@ -4,7 +4,8 @@ Every partition packs its own documents, so nothing is shuffled.  Documents
 over ``length`` tokens are split without loss; their full parts are sequences,
 their remainders join the other documents.  These go, longest first, to the
 open sequence with the least room that still fits them, found by a segment
-tree over capacities.  A partition is packed in windows of ``window`` tokens.
+tree over capacities.  A partition is packed in windows of ``window`` tokens; sequences that a window
+leaves with more than SLACK of their room, the emptiest first and up to a quarter of a window, are opened again in the next.
 
 Written are Parquet rows of one sequence each: the padded ids, the cumulative
 segment lengths, the places where positions restart, and the segments' origins.
@@ -26,6 +27,7 @@ from ._tokens import vocabulary, word_bpe
 from ._words import BLANK, words
 
 LENGTH, END, PAD, WINDOW = 2048, 1, 0, 4_000_000
+SLACK = 0.002  #: share of a sequence that may stay empty
 _PIECE = pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64())])
 _SQL = "sequence_id long, ids binary, cu_seqlens array<int>, position_resets array<int>, pieces array<struct<doc_id: bigint, start: bigint, length: bigint, doc_tokens: bigint>>"
 
@@ -84,25 +86,37 @@ def _pack(path: str, length: int, end: int, pad: int, window: int):
         bpe = word_bpe(path)
         number = TaskContext.get().partitionId() << 32
         held: list[tuple[int | None, np.ndarray]] = []
+        opened: list[tuple[int | None, int, int, np.ndarray, int]] = []  # document, start, length, ids, all ids
         tokens = 0
 
-        def packed() -> Iterator[pa.RecordBatch]:
+        def packed(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal number
-            parts = [(d, s, min(length, len(ids) - s), ids) for d, ids in held for s in range(0, len(ids), length)]
+            parts = opened + [(d, s, min(length, len(ids) - s), ids[s : s + length], len(ids)) for d, ids in held for s in range(0, len(ids), length)]
+            opened.clear()
             bins = best_fit_decreasing([p[2] for p in parts], length)
+            if not last:
+                used = [sum(parts[i][2] for i in b) for b in bins]
+                left, again = window // 4, set()
+                for j in sorted(range(len(bins)), key=lambda j: (used[j], j)):
+                    if length - used[j] <= SLACK * length or used[j] > left:
+                        break
+                    left -= used[j]
+                    again.add(j)
+                opened.extend(parts[i][:3] + (parts[i][3].copy(), parts[i][4]) for j in sorted(again) for i in bins[j])
+                bins = [b for j, b in enumerate(bins) if j not in again]
             for at in range(0, len(bins), 500):
                 rows = bins[at : at + 500]
                 ids, cu, resets, made = [], [], [], []
                 for members in rows:
                     row, ends = np.full(length, pad, dtype="<u4"), [0]
                     for i in members:
-                        _, s, n, x = parts[i]
-                        row[ends[-1] : ends[-1] + n] = x[s : s + n]
+                        _, _, n, x, _ = parts[i]
+                        row[ends[-1] : ends[-1] + n] = x
                         ends.append(ends[-1] + n)
                     ids.append(row.tobytes())
                     cu.append(ends)
                     resets.append(ends[:-1])
-                    made.append([{"doc_id": parts[i][0], "start": parts[i][1], "length": parts[i][2], "doc_tokens": len(parts[i][3])} for i in members])
+                    made.append([{"doc_id": parts[i][0], "start": parts[i][1], "length": parts[i][2], "doc_tokens": parts[i][4]} for i in members])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(range(number, number + len(rows)), pa.int64()), pa.array(ids, pa.binary()), pa.array(cu, pa.list_(pa.int32())), pa.array(resets, pa.list_(pa.int32())), pa.array(made, pa.list_(_PIECE))],
                     names=["sequence_id", "ids", "cu_seqlens", "position_resets", "pieces"],
@@ -116,10 +130,10 @@ def _pack(path: str, length: int, end: int, pad: int, window: int):
                 held += [(names[w.row + i], ids[off[i] : off[i + 1]]) for i in range(len(w))]
                 tokens += len(ids)
                 if tokens >= window:
-                    yield from packed()
+                    yield from packed(False)
                     held.clear()
-                    tokens = 0
-        yield from packed()
+                    tokens = sum(p[2] for p in opened)
+        yield from packed(True)
 
     return run
 

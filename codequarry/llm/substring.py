@@ -330,7 +330,8 @@ class SubstringIndex:
 
         def hashes_of(source: DataFrame, far: bool) -> DataFrame:
             # A text that stands twice under one doc_id gives its windows twice, which a minimum doesn't mind.
-            of = _keyed(source).join(wanted.filter(F.col("far") == far).drop("far"), ["doc_id", "text_hash"]).select("doc_id", "text", "wanted")
+            mine = wanted.filter(F.col("far") == far).drop("far").hint("merge")  # one plan at every size
+            of = _keyed(source).join(mine, ["doc_id", "text_hash"]).select("doc_id", "text", "wanted")
             return of.mapInArrow(_window_hashes(self.window), "fp long, span long, least long, hashes array<long>")
 
         others = None if texts is None else texts.select("doc_id", "text")
@@ -399,5 +400,5 @@ def cut_duplicates(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, carr
 def apply_cuts(docs: DataFrame, cuts: DataFrame, window: int = WINDOW, carry: bool = False) -> DataFrame:
     """What ``cut_duplicates`` returns, from the cuts of SubstringIndex.duplicates."""
     docs, more = with_carried(docs, carry, ("doc_id", "bigint"), ("text", "string"))
-    out = docs.withColumn("text_hash", F.xxhash64("text")).join(cuts, ["doc_id", "text_hash"], "left").drop("text_hash")
+    out = docs.withColumn("text_hash", F.xxhash64("text")).join(cuts.hint("merge"), ["doc_id", "text_hash"], "left").drop("text_hash")
     return out.mapInArrow(_rebuild(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, removed array<array<long>>" + more)

@@ -41,6 +41,7 @@ SLOTS, ROWS = 128, 4
 BANDS = SLOTS // ROWS
 LEAST_SLOTS = 79  #: of 128; at 0.8 the mean is 102.4 and sigma 4.5
 SMALL, BLOCK, CENTRES = 64, 384, 64
+BLOCK_SHINGLES = 800_000  #: of one side of a block, on the mean: long texts make smaller blocks
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -313,10 +314,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     prepare(docs.sparkSession)
     docs = only(docs, ("doc_id", "bigint"), ("text", "string"))
     feats = save(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_features(k), "doc_id long, text_hash long, cid binary, n_shingles long, bands array<long>, sig binary"), "features")
-    classes = save(feats.filter("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "classes")
-    spread_ = classes.select(F.explode("bands").alias("key"), "cid")
-    crowd = spread_.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = save(spread_.join(crowd, "key"), "members")
+    classes = save(feats.filter("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")), "classes")
+    spread_ = classes.select(F.explode("bands").alias("key"), "cid", "n")
+    crowd = spread_.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles")).filter("size > 1")
+    members = save(spread_.drop("n").join(crowd, "key"), "members")
 
     pairs = save(_pairs_in_small(members, classes), "pairs")
     hot = members.filter(F.col("size") > SMALL)
@@ -350,19 +351,21 @@ def _hot_links(hot: DataFrame, links: DataFrame, texts: DataFrame, k: int, perce
         return hot.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid")), comps
 
     count = lambda c, per: F.ceil(F.col(c) / F.lit(per)).cast("long")
+    by_text = count("shingles", BLOCK_SHINGLES)
     # Centres: some of each bucket, even by hash. All members are compared with them.
     rows, comps = labelled(links)
-    rows = rows.withColumn("n_left", count("size", BLOCK)).withColumn("n_right", F.lit(1).cast("long"))
+    rows = rows.withColumn("n_left", F.greatest(count("size", BLOCK), by_text)).withColumn("n_right", F.ceil(by_text / count("size", CENTRES)).cast("long"))
     centre = F.pmod(F.xxhash64("key", "cid"), count("size", CENTRES)) == 0
     first = save(_blocks(rows, rows.filter(centre), texts, k, percent).distinct(), "links")
     merged = save(links.unionByName(first), "links")
     drop(first, comps, links)
     # What is outside the component of its bucket's largest part is compared with the whole bucket.
     rows, comps = labelled(merged)
-    parts = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    main = parts.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("size2")).select("key", F.col("m.comp").alias("main"), (F.col("size2") - F.col("m.n")).alias("outside"))
-    main = save(main.filter("outside > 0").withColumn("n_left", count("outside", BLOCK)), "main")
-    rows = rows.join(main, "key").withColumn("n_right", count("size", BLOCK))
+    parts = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.max("shingles").alias("shingles"))
+    main = parts.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("size2"), F.max("shingles").alias("shingles")).select("key", F.col("m.comp").alias("main"), (F.col("size2") - F.col("m.n")).alias("outside"), "size2", "shingles")
+    share = F.ceil(by_text * F.col("outside") / F.col("size2")).cast("long")
+    main = save(main.filter("outside > 0").withColumn("n_left", F.greatest(count("outside", BLOCK), share)).select("key", "main", "n_left"), "main")
+    rows = rows.join(main, "key").withColumn("n_right", F.greatest(count("size", BLOCK), by_text))
     second = save(_blocks(rows.filter("comp <> main"), rows, texts, k, percent).distinct(), "links")
     both = save(merged.unionByName(second), "links")
     drop(second, comps, merged, main)

@@ -96,3 +96,36 @@ def test_quality_odd_cases(spark):
     assert {r.score for r in Q.quality_scores(docs, lab.filter("quality = 1")).collect()} == {1.0}
     assert {r.score for r in Q.quality_scores(docs, lab.limit(0)).collect()} == {0.5}
     assert Q.quality_scores(docs.limit(0), lab).count() == 0
+
+
+def test_quality_scores_are_the_densities(spark):
+    """The model and its scores against densities written out, with numpy's own determinant and inverse."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    x = {d: v for d, v in Q.only(docs, ("doc_id", "bigint"), ("text", "string")).mapInArrow(Q._measure, "doc_id long, x array<double>").collect()}
+    y = {r.doc_id: r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    data = {c: np.array([x[d] for d, q in y.items() if q == c and d in x]) for c in (0, 1)}
+    n = sum(map(len, data.values()))
+    every = np.vstack([data[0], data[1]])
+    mean, scale = every.mean(axis=0), np.sqrt(np.maximum(every.var(axis=0), 1e-12)) + 1e-6
+    z = {c: (v - mean) / scale for c, v in data.items()}
+    cov = {c: np.cov(v.T, bias=True) for c, v in z.items()}
+    pooled = sum(len(z[c]) * cov[c] for c in z) / n
+    log = {}
+    some = sorted(x)[:200]
+    for c in z:
+        v = (1 - Q.TO_POOLED) * cov[c] + Q.TO_POOLED * pooled
+        v = (1 - Q.TO_UNIT) * v + Q.TO_UNIT * max(np.trace(v) / len(v), 1e-6) * np.eye(len(v))
+        d = (np.array([x[i] for i in some]) - mean) / scale - z[c].mean(axis=0)
+        log[c] = np.log(len(z[c]) / n) - 0.5 * np.linalg.slogdet(v)[1] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(v), d)
+    want = 1 / (1 + np.exp(-np.clip(log[1] - log[0], -700, 700)))
+    got = {r.doc_id: r.score for r in Q.quality_scores(docs, labels).collect()}
+    assert np.allclose([got[i] for i in some], want, atol=1e-6)
+
+
+def test_long_texts_for_models(spark):
+    big = " ".join(f"the{i % 977}" for i in range(1_000_000))
+    rows = [(i, big if i == 1 else "y" * 5_000_000 if i == 2 else f"the text {i}", "en") for i in range(1, 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    assert {r.lang_pred for r in L.identify_languages(df).collect()} == {"en"}
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 12)], "doc_id long, quality int, toxic int")
+    assert Q.quality_scores(df, labels).count() == 11

@@ -67,3 +67,23 @@ def test_stages(spark, tmp_path):
 
     whole = P.run(spark, str(tmp_path))
     assert sorted((p.doc_id, p.start, p.length) for p in whole.collect()) and {p.doc_id for p in whole.collect()} == set(want)
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Empty tables, null ids and columns that clash with names the operators use."""
+    spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    more = COLS + ", carried string, _h long, _id long, runs string, kept_text string, _text string, n_words int"
+    prose = " ".join(VOCAB[:45])
+    lines = "\n".join(" ".join(VOCAB[i : i + 9]) for i in range(0, 54, 9)) + "\n\n\tlast line of the text here"
+    passage = " ".join(f"shared{i}" for i in range(60))
+    rows = [(None, prose, "en", "s", 1), (7, f"{lines}\n{passage}\n\nend", "en", "s", 1), (3, f"{passage} {prose}", "en", "s", 1), (8, None, "en", "s", 0), (9, "", "en", "s", 0)]
+    df = spark.createDataFrame([(*r, "c", 1, 2, "r", "k", "t", 5) for r in rows], more)
+    for name, f in P.STAGES[:-1]:
+        got = f(spark, df, str(tmp_path))
+        assert got.columns == df.columns
+        found = {r.doc_id: r for r in got.collect()}
+        assert all(r.carried == "c" and r._h == 1 and r.kept_text == "k" and r.runs == "r" for r in found.values())
+        if name == "substring_dedup":
+            assert found[7].text == f"{lines}\nend" and found[7].n_chars == len(found[7].text) and found[None].text == prose
+        assert f(spark, df.limit(0), str(tmp_path)).count() == 0
+    assert P.packing(spark, df, str(tmp_path)).filter("doc_id is null").count() == 1

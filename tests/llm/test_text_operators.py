@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from codequarry.llm import fertility
 from codequarry.llm import superminhash as M
@@ -82,6 +83,22 @@ def test_near_copies_in_one_large_group(spark, monkeypatch):
     assert rows(got) == sorted(near_groups(docs, 4, 80), key=str)
 
 
+def test_large_groups_of_long_texts_make_smaller_blocks(spark, monkeypatch):
+    """Groups over SMALL with texts of very different length."""
+    monkeypatch.setattr(M, "SMALL", 4)
+    monkeypatch.setattr(M, "BLOCK_SHINGLES", 2_000)
+    r = random.Random(5)
+    base = [r.choice(VOCAB) for _ in range(50)]
+    docs = []
+    for i in range(60):
+        w = base * (1 if i % 10 else 20)
+        w = [*w, *(r.choice(VOCAB) for _ in range(3000 if i % 15 == 0 else 0))]
+        w[r.randrange(len(w))] = r.choice(VOCAB)
+        docs.append((i, " ".join(w)))
+    got = M.near_duplicates(spark.createDataFrame(docs, DOC), k=4).select("doc_id", "n_shingles", "component_id")
+    assert rows(got) == sorted(near_groups(docs, 4, 80), key=str)
+
+
 def test_signature_estimates_similarity():
     off = np.array([0, 1000, 2000], dtype=np.int64)
     a = np.arange(1, 1001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -315,6 +332,64 @@ def test_packing(spark, how):
         assert sorted(seq) == list(range(len(seq))) and sum(n for p in seq.values() for _, n in p) > 256 * (len(seq) - 1)
 
 
+def test_best_fit_is_the_plain_one_and_its_sequences_are_full(spark):
+    """Against a list that is searched through; cumulative lengths, resets and padding of what is written; windows carry what is open."""
+    r = random.Random(4)
+    sizes = [r.choice([1, 7, 30, 64, 100, r.randrange(1, 101)]) for _ in range(500)]
+    room, plain = [], []
+    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+        fits = [(room[j], -j) for j in range(len(room)) if room[j] >= sizes[i]]
+        if fits:
+            j = -min(fits)[1]
+        else:
+            j = len(room)
+            room.append(100)
+            plain.append([])
+        room[j] -= sizes[i]
+        plain[j].append(i)
+    got = best_fit_decreasing(sizes, 100)
+    assert len(got) == len(plain) and sorted(sum(sizes[i] for i in b) for b in got) == sorted(100 - x for x in room)
+    docs = [(i, " ".join(r.choice(VOCAB) for _ in range(r.choice([2, 9, 40, 120])))) for i in range(400)]
+    df, fill = spark.createDataFrame(docs, DOC).coalesce(1), {}
+    for window in (1_000_000, 20_000):
+        rows_ = pack_best_fit(df, length=256, pad=7, window=window).collect()
+        for x in rows_:
+            ids, n = np.frombuffer(x.ids, "<u4"), x.cu_seqlens[-1]
+            assert len(ids) == 256 and x.cu_seqlens[0] == 0 and x.position_resets == x.cu_seqlens[:-1] and (ids[n:] == 7).all()
+            assert [b - a for a, b in zip(x.cu_seqlens, x.cu_seqlens[1:], strict=False)] == [p.length for p in x.pieces]
+        fill[window] = sum(x.cu_seqlens[-1] for x in rows_) / (256 * len(rows_))
+        assert len({x.sequence_id for x in rows_}) == len(rows_)
+    assert fill[1_000_000] > 0.99 and fill[20_000] > fill[1_000_000] - 0.005
+
+
+def test_neighbours_on_the_curve_are_alike(spark):
+    """Token sets of documents next to one another share far more than those of random pairs."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("n_chars between 100 and 5000").select("doc_id", "text").dropDuplicates(["text"])
+    got = pack_along_curve(docs).select("doc_id", (F.col("sequence_id") * 2048 + F.col("offset")).alias("at"), "start").filter("start = 0").orderBy("at").collect()
+    sets = {r.doc_id: set(r.text.lower().split()) for r in docs.collect()}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    order = [r.doc_id for r in got]
+    near = np.mean([alike(a, b) for a, b in zip(order, order[1:], strict=False)])
+    far = list(order)
+    random.Random(1).shuffle(far)
+    assert near > 1.5 * np.mean([alike(a, b) for a, b in zip(far, far[1:], strict=False)])
+
+
+def test_very_long_texts(spark):
+    """7 MB in one text, and one word of 3 MB, beside an ordinary text."""
+    big = " ".join(f"t{i % 5000} u{i % 7}" for i in range(700_000))
+    docs = spark.createDataFrame([(1, big), (2, "x" * 3_000_000), (3, " ".join(VOCAB[:60]))], DOC).repartition(3)
+    bench = spark.createDataFrame([(1, " ".join(f"t{i} u{i % 7}" for i in range(100, 110)))], "item_id long, text string")
+    n = {1: 1_400_000, 2: 1, 3: 60}
+    for df in (quality_rules(docs), contamination(docs, bench), cut_duplicates(docs, batches=1)):
+        assert {r.doc_id: r.n_words for r in df.select("doc_id", "n_words").collect()} == n
+    assert contamination(docs, bench).filter("doc_id = 1").first().n_hit > 0
+    assert {r.doc_id: r.kept for r in M.near_duplicates(docs, k=4).collect()} == {1: True, 2: True, 3: True}
+    for df in (pack_along_curve(docs, with_ids=False), segments(pack_best_fit(docs))):
+        got = df.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).collect()
+        assert len(got) == 3 and all(r.n == r.t for r in got)
+
+
 def test_best_fit_and_hilbert():
     sizes = [random.Random(i).randrange(1, 100) for i in range(200)]
     bins = best_fit_decreasing(sizes, 100)

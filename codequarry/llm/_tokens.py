@@ -259,7 +259,7 @@ class Remembered:
         n[new], off[new] = count, len(flat) + np.cumsum(count) - count
         flat = np.concatenate([flat, np.fromiter((i for x in made for i in x), self.kind, int(count.sum()))])
         if len(known) < KNOWN and len(new):
-            order = np.argsort(merged := np.concatenate([known, h[new]]))
+            order = np.argsort(merged := np.concatenate([known, h[new]]), kind="stable")  # two sorted runs
             self.known = merged[order], np.concatenate([at, off[new]])[order], np.concatenate([have, count])[order], flat
         return flat[spread(off[back], n[back])], n[back]
 

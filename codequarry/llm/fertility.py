@@ -24,6 +24,7 @@ from ._tokens import byte_level, pieces, vocabulary
 from ._words import BLANK, Words, mix, script_names, scripts_of_bytes, text_bytes, windows, words
 
 LEAST_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
+CHUNK = 1 << 19  #: bytes of text that are worked on at once
 BLOCK = 4096  #: tokens of a block of entropy at most; a shorter text is one block
 FIGURES = ("chars_per_token", "letters_per_token", "byte_share", "entropy")
 
@@ -110,7 +111,7 @@ def text_statistics(col: pa.Array, piece_path: str, byte_path: str) -> Iterator[
     """First row, and the columns of _ARROW, for chunks of whole documents."""
     first, second, names = pieces(piece_path), byte_level(byte_path), script_names()
     data, off = text_bytes(col)
-    for w in words(col, BLANK):
+    for w in words(col, BLANK, CHUNK):
         at = off[w.row : w.row + len(w) + 1] - off[w.row]
 
         def sums(x: np.ndarray, edge: np.ndarray = at) -> np.ndarray:

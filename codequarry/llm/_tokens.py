@@ -24,6 +24,7 @@ def vocabulary(name: str) -> str:
 
 
 _NONE = np.int32(np.iinfo(np.int32).max)
+LONG = 1000  #: characters of a word that a byte-level vocabulary encodes at once, its merging being quadratic in them
 KNOWN = 300_000  #: different words that an encoder remembers, the first it meets; about 20 MB
 
 
@@ -206,7 +207,7 @@ class WordBpe:
         odd = ~self.plain[data]
         odd[:-1] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
         # A continuation byte is plain only after 0xC3; other lead bytes aren't plain themselves.
-        is_plain = ~np.logical_or.reduceat(odd, off)
+        is_plain = ~np.logical_or.reduceat(odd, off) & (length <= 2 * LONG)  # merging as arrays is quadratic in a word's length
         yes, no = np.flatnonzero(is_plain), np.flatnonzero(~is_plain)
         ids, count = self._plain_words(data[spread(off[yes], length[yes])], length[yes]) if len(yes) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         slow = [self._library(data[off[i] : off[i] + length[i]].tobytes()) for i in no]
@@ -293,7 +294,8 @@ class ByteLevel(Remembered):
         self.lib = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def some(self, new: list[str]) -> list[list[int]]:
-        return [self.lib.encode_ordinary(f" {x}") for x in new]
+        one = self.lib.encode_ordinary
+        return [one(f" {x}") if len(x) <= LONG else [i for at in range(0, len(x), LONG) for i in one(f" {x[:LONG]}" if not at else x[at : at + LONG])] for x in new]
 
 
 @lru_cache(maxsize=4)

@@ -152,7 +152,7 @@ def quality_rules(docs: DataFrame, vocab: str | None = None, bands: dict[str, Ba
 
     docs: doc_id (a whole number), text; more columns are ignored.  vocab: path of a
     sentencepiece model with byte fallback (piece_bpe_32k.model if left out), which n_tokens, byte_share and entropy
-    are of; byte_vocab: of tiktoken ranks (byte_bpe_multi_50k.tiktoken).  Words are runs of non-blank characters.
+    are of; byte_vocab: of tiktoken ranks (byte_bpe_multi_50k.tiktoken), which takes words of over 1000 characters in parts of so many.  Words are runs of non-blank characters.
     base_failed: fewer than 20 words, or over 30 % of the words in 8-word windows
     that the text has twice or more.  kept: not base_failed, and all figures in the band of the script of
     most letters (of ``other``, if it has none of its own).

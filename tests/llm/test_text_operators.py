@@ -245,7 +245,7 @@ def figures(text):
     other = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
     ids = [i for x in w for i in lib.encode(x)]
-    least = max(1, min(len(ids), sum(len(other.encode_ordinary(" " + x)) for x in w)))
+    least = max(1, min(len(ids), sum(len(other.encode_ordinary((" " if not i else "") + v[i : i + 1000])) for v in w for i in range(0, len(v), 1000))))
     blocks = [b for b in np.array_split(ids, -(-len(ids) // 4096)) if len(b)] if ids else []
     bits = [sum(-c / len(b) * np.log2(c / len(b)) for c in Counter(b.tolist()).values()) / np.log2(max(len(b), 2)) for b in blocks]
     letters = sum(c.isalnum() if c.isascii() else True for x in w for c in x)

@@ -49,7 +49,7 @@ class GraphStore:
         version = uuid.uuid4().hex
         for name, df in tables.items():
             folders[name], schemas[name] = f"{self.root}/{name}/v-{version}", df.schema.json()
-            w = df.write.mode("errorifexists")
+            w = df.write.mode("errorifexists").option("compression", "zstd")
             (w.partitionBy("lang") if name == "nodes" and "lang" in df.columns else w).parquet(folders[name])
         at = (self._pointers().agg(F.max("at")).first()[0] + 1) if before else 0
         self.spark.createDataFrame([(at, commit, folders, schemas)], _POINTER).coalesce(1).write.mode("append").parquet(f"{self.root}/current_version")

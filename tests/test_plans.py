@@ -16,7 +16,7 @@ def test_stored_edges_are_the_view(spark):
         assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
-@pytest.mark.parametrize("name", ["get_nodes_by_ids", "ambiguity_report", "search_blocks"])
+@pytest.mark.parametrize("name", ["get_nodes_by_ids", "ambiguity_report", "search_blocks", "insert_and_update_nodes"])
 def test_queries_of_nodes_and_blocks_write_no_edges(spark, monkeypatch, name):
     monkeypatch.setattr(A, "stored", lambda *a: pytest.fail("a table was stored"))
     assert QUERIES[name](spark, SF).columns

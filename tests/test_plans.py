@@ -3,6 +3,7 @@
 import pytest
 
 from codequarry.catalog import QUERIES
+from codequarry.operators import versioning as V
 from codequarry.plans import graph as A
 
 SF = "/root/testdata/sf0.001"
@@ -16,7 +17,24 @@ def test_stored_edges_are_the_view(spark):
         assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
-@pytest.mark.parametrize("name", ["get_nodes_by_ids", "ambiguity_report", "search_blocks", "insert_and_update_nodes"])
+@pytest.mark.parametrize("name", ["get_nodes_by_ids", "ambiguity_report", "search_blocks", "insert_and_update_nodes", "delete_nodes"])
 def test_queries_of_nodes_and_blocks_write_no_edges(spark, monkeypatch, name):
     monkeypatch.setattr(A, "stored", lambda *a: pytest.fail("a table was stored"))
     assert QUERIES[name](spark, SF).columns
+
+
+def exchanges(df):
+    """Exchanges of a plan that aren't broadcasts, when it has run."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hash") + plan.count("Exchange range")
+
+
+def test_short_lists_move_no_edges(spark):
+    n, e = A.nodes(spark, SF), A.edges(spark, SF)
+    some = n.filter("kind = 'Interface'")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "2k")  # less than the nodes' tables, more than the list
+    try:
+        assert exchanges(V.edges_without(e, some)) == 0 and exchanges(V.nodes_without(n, some)) == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import CALL_KINDS, SUPER_KINDS
+from ..scratch import save
 from .lookup import current, find_definition
 
 
@@ -39,21 +40,33 @@ def live_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def reach_live(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, kinds: list[str] | None, direction: str, max_depth: int, ends_only: bool = False) -> DataFrame:
     """(seed_id, id, depth) as ``reach`` over live edges between live nodes, from live seeds (seed_id).
 
-    The frontier comes first: each hop meets the edge table once, filtered by kind and liveness, and only what a hop
-    finds is looked up among the nodes.  ends_only: dead edges and nodes may lie on the way.
+    The frontier comes first, and is written after each hop: a hop meets the edge table once, filtered by kind and liveness,
+    and only what it finds is looked up among the nodes; a short frontier goes to the tasks whole, so that neither edges nor
+    nodes are moved.  What was found before is not walked from again.  ends_only: dead edges and nodes may lie on the way.
     """
     e = edges if ends_only else current(edges)
     e = e if kinds is None else e.filter(F.col("kind").isin(*kinds))
     out, back = e.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")), e.select(F.col("to_id").alias("a"), F.col("from_id").alias("b"))
     hop = out if direction == "out" else back if direction == "in" else out.unionByName(back)
     alive = current(nodes).select("id")
-    front, levels = seeds.select("seed_id", F.col("seed_id").alias("id")).distinct(), []
+    front, found = save(seeds.select("seed_id", F.col("seed_id").alias("id")).distinct(), "front"), None
     for depth in range(1, max_depth + 1):
-        front = front.join(hop, front["id"] == hop["a"]).select("seed_id", F.col("b").alias("id")).distinct()
+        ends = hop.join(front, hop["a"] == front["id"]).select("seed_id", F.col("b").alias("id")).distinct()
+        if found is not None:
+            ends = ends.join(found, ["seed_id", "id"], "left_anti")
         if not ends_only:
-            front = front.join(alive, "id", "left_semi").select("seed_id", "id")
-        levels.append(front.withColumn("depth", F.lit(depth)))
-    return reduce(DataFrame.unionByName, levels).groupBy("seed_id", "id").agg(F.min("depth").alias("depth"))
+            ends = alive.join(save(ends, "ends"), "id").select("seed_id", "id").distinct()
+        front = save(ends, "front")
+        level = front.withColumn("depth", F.lit(depth))
+        found = level if found is None else found.unionByName(level)
+        if front.isEmpty():
+            break
+    return found
+
+
+def among(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """Nodes whose id is among ids (id), which are written first, so that a short list moves no nodes."""
+    return nodes.join(save(ids.select("id").distinct(), "ids"), "id", "left_semi")
 
 
 def _related(nodes: DataFrame, edges: DataFrame, node_id: str, kinds: list[str], direction: str, depth: int, limit: int, base_kinds: tuple[str, ...] = (), ends_only: bool = False) -> DataFrame:
@@ -98,11 +111,16 @@ def expand_neighbourhood(nodes: DataFrame, edges: DataFrame, node_id: str, depth
     depth = max(1, min(depth, 4))
     start = current(nodes).filter(F.col("id") == node_id).select(F.col("id").alias("seed_id"))
     near = reach_live(nodes, edges, start, edge_kinds, "both", depth).select("id", "depth").unionByName(start.select(F.col("seed_id").alias("id"), F.lit(0).alias("depth"))).groupBy("id").agg(F.min("depth").alias("depth"))
+    near = save(near, "near")
     inner = near.filter(F.col("depth") < depth).select(F.col("id").alias("_end"))
     live = current(edges) if edge_kinds is None else current(edges).filter(F.col("kind").isin(*edge_kinds))
-    ends = live.withColumn("_end", F.explode(F.array("from_id", "to_id")))
-    touching = live_edges(ends.join(inner, "_end", "left_semi").drop("_end").distinct(), nodes).select(*edges.columns)
-    return current(nodes).join(near.select("id"), "id", "left_semi"), touching.orderBy("id").limit(limit)
+    at = lambda c: inner.select(F.col("_end").alias(c), F.lit(True).alias(f"_{c}"))
+    touching = live.join(at("from_id"), "from_id", "left").join(at("to_id"), "to_id", "left").filter("_from_id or _to_id")
+    touching = save(touching.select(*edges.columns).distinct(), "touching")
+    alive = among(current(nodes).select("id"), touching.select(F.explode(F.array("from_id", "to_id")).alias("id")))
+    alive = save(alive, "alive")
+    touching = touching.join(alive.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(alive.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
+    return among(current(nodes), near), touching.select(*edges.columns).orderBy("id").limit(limit)
 
 
 def call_confidence(edges: DataFrame, edge_id: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import pytest
 
 from codequarry.catalog import QUERIES
+from codequarry.operators import traverse as G
 from codequarry.operators import versioning as V
 from codequarry.plans import graph as A
 
@@ -30,6 +31,13 @@ def exchanges(df):
     return plan.count("Exchange hash") + plan.count("Exchange range")
 
 
+def test_walks_move_neither_edges_nor_nodes(spark):
+    n, e = A.nodes(spark, SF), A.edges(spark, SF)
+    assert exchanges(G.find_superclasses(n, e, "P190", 5)) == 0
+    assert exchanges(G.find_callees(n, e, "E10", 5)) == 0
+    assert all(exchanges(x) == 0 for x in G.expand_neighbourhood(n, e, "S3", 2))
+
+
 def test_short_lists_move_no_edges(spark):
     n, e = A.nodes(spark, SF), A.edges(spark, SF)
     some = n.filter("kind = 'Interface'")

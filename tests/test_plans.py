@@ -46,3 +46,8 @@ def test_short_lists_move_no_edges(spark):
         assert exchanges(V.edges_without(e, some)) == 0 and exchanges(V.nodes_without(n, some)) == 0
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_index_then_callers_walks_a_written_graph(spark):
+    """Each hop reads the graph's tables; it doesn't plan the whole extraction again."""
+    assert "MapInArrow" not in QUERIES["index_then_callers"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()

@@ -404,6 +404,17 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield made(rows)
 
 
+FILES_PER_TASK = 10_000
+
+
+def spread(keys: DataFrame, key: str, files: int = FILES_PER_TASK) -> DataFrame:
+    """Rows from which source texts are made, dealt out by a key, about ``files`` to a task.
+
+    One file of a column store, which one task reads, can hold the keys of millions of sources.
+    """
+    return keys.repartition(max(1, -(-keys.count() // files)), key)
+
+
 def extract(files: DataFrame) -> DataFrame:
     """Raw rows of files (path, lang, content)."""
     prepare(files.sparkSession)

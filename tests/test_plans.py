@@ -6,6 +6,7 @@ from codequarry.catalog import QUERIES
 from codequarry.operators import traverse as G
 from codequarry.operators import versioning as V
 from codequarry.plans import graph as A
+from codequarry.sources import extract as P
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,3 +52,8 @@ def test_short_lists_move_no_edges(spark):
 def test_index_then_callers_walks_a_written_graph(spark):
     """Each hop reads the graph's tables; it doesn't plan the whole extraction again."""
     assert "MapInArrow" not in QUERIES["index_then_callers"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sources_are_dealt_out_by_their_number(spark):
+    keys = spark.range(0, 2500, 1, 1).toDF("k")
+    assert P.spread(keys, "k", 1000).rdd.getNumPartitions() == 3 and P.spread(keys, "k").count() == 2500

@@ -57,3 +57,9 @@ def test_index_then_callers_walks_a_written_graph(spark):
 def test_sources_are_dealt_out_by_their_number(spark):
     keys = spark.range(0, 2500, 1, 1).toDF("k")
     assert P.spread(keys, "k", 1000).rdd.getNumPartitions() == 3 and P.spread(keys, "k").count() == 2500
+
+
+@pytest.mark.parametrize("name", ["extract_nodes"])
+def test_extraction_is_dealt_out(spark, monkeypatch, name):
+    monkeypatch.setattr(P.spread, "__defaults__", (5,))
+    assert "hashpartitioning(p_partkey" in QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()

@@ -59,7 +59,7 @@ def test_sources_are_dealt_out_by_their_number(spark):
     assert P.spread(keys, "k", 1000).rdd.getNumPartitions() == 3 and P.spread(keys, "k").count() == 2500
 
 
-@pytest.mark.parametrize("name", ["extract_nodes"])
+@pytest.mark.parametrize("name", ["extract_nodes", "extract_blocks"])
 def test_extraction_is_dealt_out(spark, monkeypatch, name):
     monkeypatch.setattr(P.spread, "__defaults__", (5,))
     assert "hashpartitioning(p_partkey" in QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()

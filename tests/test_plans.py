@@ -63,3 +63,7 @@ def test_sources_are_dealt_out_by_their_number(spark):
 def test_extraction_is_dealt_out(spark, monkeypatch, name):
     monkeypatch.setattr(P.spread, "__defaults__", (5,))
     assert "hashpartitioning(p_partkey" in QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_an_update_extracts_each_side_once(spark):
+    assert "MapInArrow" not in QUERIES["update_between_commits"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()

@@ -514,21 +514,24 @@ def outward_edges(raw: DataFrame, project: str, commit: str) -> DataFrame:
     label = F.trim(F.regexp_replace("target", "^[\"'<>`]+|[\"'<>`]+$", ""))
     refs = refs.withColumn("label", label).filter("label <> ''")
     to = lambda prefix: S.content_hash(F.concat(F.lit(prefix), "label"))
-    imports = refs.filter("kind in ('IMPORTS', 'INCLUDES')").select("from_id", "kind", to("import:").alias("to_id"), "label")
-    depends = refs.filter("(lang = 'cpp' and kind = 'INCLUDES') or (lang = 'java' and kind = 'IMPORTS')")
-    depends = depends.select("from_id", F.lit("DEPENDS_ON").alias("kind"), F.when(F.col("lang") == "cpp", to("include:")).otherwise(to("import:")).alias("to_id"), "label")
-    types = refs.filter("kind = 'TYPES'").withColumn("label", F.col("target")).select("from_id", "kind", to("type:").alias("to_id"), "label")
-    cross = refs.filter("kind = 'CROSS_FILE_CALL'").select("from_id", "kind", to("crossfile:").alias("to_id"), "label", F.lit(0.3).alias("confidence"))
-    return _edges(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [cross, imports, depends, types]), commit)
+    one = lambda when, kind, to_id, label=F.col("label"), confidence=F.lit(None): F.when(when, F.struct(kind.alias("kind"), to_id.alias("to_id"), label.alias("label"), confidence.cast("double").alias("confidence")))
+    kind, cpp = F.col("kind"), F.col("lang") == "cpp"
+    each = F.array(  # of a reference; the rows are read once
+        one(kind.isin("IMPORTS", "INCLUDES"), kind, to("import:")),
+        one(cpp & (kind == "INCLUDES") | (F.col("lang") == "java") & (kind == "IMPORTS"), F.lit("DEPENDS_ON"), F.when(cpp, to("include:")).otherwise(to("import:"))),
+        one(kind == "TYPES", kind, S.content_hash(F.concat(F.lit("type:"), "target")), F.col("target")),
+        one(kind == "CROSS_FILE_CALL", kind, to("crossfile:"), confidence=F.lit(0.3)),
+    )
+    return _edges(refs.select("from_id", F.explode(F.array_compact(each)).alias("_e")).select("from_id", "_e.*"), commit)
 
 
 def containment(raw: DataFrame, project: str, commit: str) -> DataFrame:
     """The file contains its types and free functions; the innermost type around them, its methods and fields. A method of two types has two parents."""
     n = raw.filter("what = 'node'").withColumn("to_id", _symbol(project, F.col("kind"), F.col("name")))
-    types = n.filter(F.col("kind").isin(*TYPE_KINDS, "Namespace")).select(file_id(project).alias("from_id"), F.lit("CONTAINS_CLASS").alias("kind"), "to_id")
-    inner = n.filter(F.col("kind").isin(*S.CALLABLE_KINDS) | (F.col("kind") == "Field") & F.col("src_name").isNotNull())
-    kind = F.when(F.col("kind") == "Field", "CONTAINS_FIELD").when(F.col("src_name").isNull(), "CONTAINS_FUNCTION").otherwise("CONTAINS_METHOD")
-    return _edges(types.unionByName(inner.select(_source(project).alias("from_id"), kind.alias("kind"), "to_id")), commit)
+    is_type, is_field = F.col("kind").isin(*TYPE_KINDS, "Namespace"), F.col("kind") == "Field"
+    kept = n.filter(is_type | F.col("kind").isin(*S.CALLABLE_KINDS) | is_field & F.col("src_name").isNotNull())
+    kind = F.when(is_type, "CONTAINS_CLASS").when(is_field, "CONTAINS_FIELD").when(F.col("src_name").isNull(), "CONTAINS_FUNCTION").otherwise("CONTAINS_METHOD")
+    return _edges(kept.select(F.when(is_type, file_id(project)).otherwise(_source(project)).alias("from_id"), kind.alias("kind"), "to_id"), commit)
 
 
 def blocks_of(raw: DataFrame, project: str, commit: str) -> DataFrame:

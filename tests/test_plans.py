@@ -67,3 +67,10 @@ def test_extraction_is_dealt_out(spark, monkeypatch, name):
 
 def test_an_update_extracts_each_side_once(spark):
     assert "MapInArrow" not in QUERIES["update_between_commits"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_outward_edges_and_containment_read_the_rows_once(spark):
+    raw = P.extract(spark.createDataFrame([("a.java", "java", bytearray(b"import x.Y;\nclass A {\n  int f;\n  int g() { return 1; }\n}\n"))], "path string, lang string, content binary"))
+    for edges in (P.outward_edges(raw, "p", "c1"), P.containment(raw, "p", "c1")):
+        assert edges._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert sorted((r.kind, r.label) for r in P.outward_edges(raw, "p", "c1").collect()) == [("DEPENDS_ON", "x.Y"), ("IMPORTS", "x.Y"), ("TYPES", "int")]

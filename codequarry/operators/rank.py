@@ -40,29 +40,37 @@ def vector_topk_with_fallback(vectors: DataFrame, query: list[float], k: int, wh
 
 
 QUERY_BLOCK = 2_000  #: queries that tasks hold at once
+SCORES = 1_000_000  #: scores that a task holds at once
+PLACES = 12  #: decimals by which scores are ranked: less is the noise of sums in another order
 
 
 def _block_top(block, k: int):
     def run(batches):
         ids, q = block.value
         q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        best = None
+        step, least = max(1, SCORES // len(q)), np.full(len(q), -np.inf)
+        best = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)  # query's place, id, score
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            flat = np.asarray(batch.column("embedding").flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
-            size = np.linalg.norm(flat, axis=1, keepdims=True)
-            score = q @ (flat / np.maximum(size, 1e-300)).T
-            score[:, size[:, 0] == 0] = -np.inf
-            name = np.broadcast_to(np.asarray(batch.column("id")), score.shape)
-            both = (score, name) if best is None else (np.hstack([best[0], score]), np.hstack([best[1], name]))
-            order = np.lexsort((both[1], -both[0]), axis=1)[:, :k]
-            best = np.take_along_axis(both[0], order, 1), np.take_along_axis(both[1], order, 1)
-        if best is not None:
-            n = best[0].shape[1]
-            cols = [pa.array(np.repeat(ids, n)), pa.array(best[1].ravel()), pa.array(best[0].ravel())]
-            out = pa.RecordBatch.from_arrays(cols, names=["query_id", "id", "score"])
-            yield out.filter(pa.array(np.isfinite(best[0].ravel())))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                name = np.asarray(part.column("id"))
+                flat = np.asarray(part.column("embedding").flatten(), dtype=np.float64).reshape(len(name), -1)
+                size = np.linalg.norm(flat, axis=1, keepdims=True)
+                score = q @ (flat / np.maximum(size, 1e-300)).T
+                score[:, size[:, 0] == 0] = -np.inf
+                near = np.round(score, PLACES)
+                if len(name) > k:  # what is below the k-th is none of the k first
+                    least = np.maximum(least, np.partition(near, len(name) - k, axis=1)[:, len(name) - k])
+                i, j = np.nonzero((near >= least[:, None]) & np.isfinite(near))
+                i, name, score = np.concatenate([best[0], i]), np.concatenate([best[1], name[j]]), np.concatenate([best[2], score[i, j]])
+                order = np.lexsort((name, -np.round(score, PLACES), i))
+                i, name, score = i[order], name[order], score[order]
+                place = np.arange(len(i)) - np.searchsorted(i, i)
+                best = i[place < k], name[place < k], score[place < k]
+                full = place == k - 1
+                least[i[full]] = np.round(score[full], PLACES)
+        if len(best[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]]), pa.array(best[1]), pa.array(best[2])], names=["query_id", "id", "score"])
 
     return run
 
@@ -71,7 +79,8 @@ def vector_topk_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, block
     """(query_id, id, score, rank) of queries (query_id, embedding) against all vectors (id, embedding), by cosine; ties by id.
 
     Ids are whole numbers, embeddings of one length.  Queries go to the tasks in blocks of at most ``block`` rows; each task
-    keeps the best ``k`` of its vectors for each, so k rows per query and task are shuffled.  Vectors of length 0 match nothing.
+    keeps the best ``k`` of its vectors for each, so k rows per query and task are shuffled, and at most ``SCORES`` scores at once.
+    Scores are ranked by ``PLACES`` decimals.  Vectors of length 0 match nothing.
     """
     spark = vectors.sparkSession
     prepare(spark)
@@ -89,7 +98,7 @@ def vector_topk_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, block
         found = one if found is None else found.unionByName(one)
     if found is None:
         return spark.createDataFrame([], "query_id long, id long, score double, rank int")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", PLACES)), "id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 

@@ -3,6 +3,7 @@
 import pytest
 
 from codequarry.catalog import QUERIES
+from codequarry.operators import rank as K
 from codequarry.operators import traverse as G
 from codequarry.operators import versioning as V
 from codequarry.plans import graph as A
@@ -74,3 +75,25 @@ def test_outward_edges_and_containment_read_the_rows_once(spark):
     for edges in (P.outward_edges(raw, "p", "c1"), P.containment(raw, "p", "c1")):
         assert edges._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     assert sorted((r.kind, r.label) for r in P.outward_edges(raw, "p", "c1").collect()) == [("DEPENDS_ON", "x.Y"), ("IMPORTS", "x.Y"), ("TYPES", "int")]
+
+
+def test_a_block_of_queries_holds_few_scores_at_once():
+    """Peak memory doesn't follow the batch; copies of a vector are ranked by id."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    v = np.repeat(rng.normal(size=(2000, 8)), 2, axis=0)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(4000)), pa.array(v.tolist(), pa.list_(pa.float64()))], names=["id", "embedding"])
+    block = SimpleNamespace(value=(np.arange(2000), v[:2000]))
+    tracemalloc.start()
+    (got,) = K._block_top(block, 4)(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = np.round(unit[:2000] @ unit.T, 12)
+    want = [np.lexsort((np.arange(4000), -row))[:4].tolist() for row in near]
+    assert np.asarray(got.column("id")).reshape(2000, 4).tolist() == want and peak < 100e6

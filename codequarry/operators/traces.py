@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import save
+
 #: Frame patterns by language, as (expression, group of function, class, file, line); 0: absent.
 _FRAME = {
     "python": r'^\s*File "([^"]+)", line (\d+)(?:, in (\S+))?',
@@ -141,15 +143,15 @@ def map_frames(frames_: DataFrame, nodes: DataFrame, semantic: DataFrame | None
 
     semantic: (lang, name, id), the best hit of a search for "function <name>", "class <class>" or "module <file>" texts (``frame_texts``).
     """
-    from .lookup import nodes_by_location, nodes_by_name
-
-    key = F.concat_ws("#", "trace_id", F.col("frame_index").cast("string"))
-    f = frames_.withColumn("frame_id", key)
-    place = f.filter(F.col("file_path").isNotNull() & F.col("line_number").isNotNull()).select("frame_id", F.col("file_path").alias("path"), F.col("line_number").alias("line"), F.col("language").alias("lang"))
-    by_place = nodes_by_location(place, nodes).select("frame_id", F.col("id").alias("_p"))
-    rest = f.filter(F.col("function_name").isNotNull()).join(by_place, "frame_id", "left_anti")
-    by_name = nodes_by_name(rest.select("frame_id", F.col("function_name").alias("name"), F.col("language").alias("lang")), nodes).select("frame_id", F.col("id").alias("_n"))
-    out = f.join(by_place, "frame_id", "left").join(by_name, "frame_id", "left")
+    from .lookup import nodes_at, nodes_named
+
+    f = frames_.withColumn("_path", F.translate("file_path", "\\", "/"))
+    place = f.filter(F.col("_path").isNotNull() & F.col("line_number").isNotNull()).select(F.col("_path").alias("path"), F.col("line_number").alias("line"), F.col("language").alias("lang"))
+    at = nodes_at(place, nodes).select(F.col("_lang").alias("language"), "_path", F.col("_line").alias("line_number"), F.col("id").alias("_p"))
+    out = f.join(save(at, "at"), ["language", "_path", "line_number"], "left")
+    rest = out.filter(F.col("_p").isNull() & F.col("function_name").isNotNull()).select(F.col("language").alias("lang"), F.col("function_name").alias("name"))
+    named = nodes_named(rest, nodes).select(F.col("lang").alias("language"), F.col("name").alias("function_name"), F.col("id").alias("_n"))
+    out = out.join(save(named, "named"), ["language", "function_name"], "left")
     if semantic is None:
         out = out.withColumn("_s", F.lit(None).cast("string"))
     else:
@@ -192,7 +194,7 @@ def similar_issues(traces: DataFrame, past: DataFrame, top: int = 5) -> DataFram
 
 def report(traces: DataFrame, nodes: DataFrame, semantic: DataFrame | None = None) -> DataFrame:
     """One row per trace: its error, root cause, related nodes, numbers of frames and of mapped frames, and a one-line summary."""
-    f = frames(traces)
+    f = save(frames(traces), "frames")  # each step below reads them
     mapped = map_frames(f, nodes, semantic)
     counts = mapped.groupBy("trace_id").agg(
         F.count(F.lit(1)).alias("total_frames"), F.count("node_id").alias("mapped_frames"),

@@ -3,6 +3,7 @@
 import pytest
 
 from codequarry.catalog import QUERIES
+from codequarry.operators import lookup as L
 from codequarry.operators import rank as K
 from codequarry.operators import traverse as G
 from codequarry.operators import versioning as V
@@ -97,3 +98,12 @@ def test_a_block_of_queries_holds_few_scores_at_once():
     near = np.round(unit[:2000] @ unit.T, 12)
     want = [np.lexsort((np.arange(4000), -row))[:4].tolist() for row in near]
     assert np.asarray(got.column("id")).reshape(2000, 4).tolist() == want and peak < 100e6
+
+
+def test_frames_of_one_place_are_looked_up_once(spark):
+    """Many frames of a place and a name: they meet the node that was found, not the file's nodes."""
+    frames = spark.range(50).selectExpr("'f' || id AS frame_id", "'src\\\\m3/go.x' AS path", "25 AS line", "'go' AS lang")
+    n = spark.createDataFrame([(f"n{i}", "src/m3/go.x", "go", i, 90, None) for i in range(1, 20)], "id string, file_path string, lang string, start_line int, end_line int, valid_to string")
+    got = L.nodes_by_location(frames, n)
+    assert "start_line <=" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.id, r["count"]) for r in got.groupBy("id").count().collect()] == [("n19", 50)]

@@ -107,3 +107,12 @@ def test_frames_of_one_place_are_looked_up_once(spark):
     got = L.nodes_by_location(frames, n)
     assert "start_line <=" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert [(r.id, r["count"]) for r in got.groupBy("id").count().collect()] == [("n19", 50)]
+
+
+def test_a_walk_gives_the_least_depth_and_the_start_of_a_cycle(spark):
+    pairs = [("a", "b"), ("b", "c"), ("a", "c"), ("c", "a"), ("c", "d")]
+    nodes = spark.createDataFrame([(x, None) for x in "abcd"], "id string, valid_to string")
+    edges = spark.createDataFrame([("CALLS", *p, None) for p in pairs], "kind string, from_id string, to_id string, valid_to string")
+    found = G.reach_live(nodes, edges, spark.createDataFrame([("a",)], "seed_id string"), None, "out", 5)
+    assert sorted((r.id, r.depth) for r in found.collect()) == [("a", 2), ("b", 1), ("c", 1), ("d", 2)]
+    assert exchanges(found) == 0

@@ -116,3 +116,11 @@ def test_a_walk_gives_the_least_depth_and_the_start_of_a_cycle(spark):
     found = G.reach_live(nodes, edges, spark.createDataFrame([("a",)], "seed_id string"), None, "out", 5)
     assert sorted((r.id, r.depth) for r in found.collect()) == [("a", 2), ("b", 1), ("c", 1), ("d", 2)]
     assert exchanges(found) == 0
+
+
+def test_a_neighbourhood_takes_edges_by_one_scan(spark):
+    nodes = spark.createDataFrame([(x, None) for x in "abcd"], "id string, valid_to string")
+    edges = spark.createDataFrame([(f"e{i}", "CALLS", *p, None) for i, p in enumerate(["ab", "cb", "cd", "aa"])], "id string, kind string, from_id string, to_id string, valid_to string")
+    n, e = G.expand_neighbourhood(nodes, edges, "a", 2)
+    assert sorted(r.id for r in n.collect()) == list("abc") and sorted(r.id for r in e.collect()) == ["e0", "e1", "e3"]
+    assert exchanges(e) == 0

@@ -124,3 +124,9 @@ def test_a_neighbourhood_takes_edges_by_one_scan(spark):
     n, e = G.expand_neighbourhood(nodes, edges, "a", 2)
     assert sorted(r.id for r in n.collect()) == list("abc") and sorted(r.id for r in e.collect()) == ["e0", "e1", "e3"]
     assert exchanges(e) == 0
+
+
+def test_edges_go_with_either_end(spark):
+    e = spark.createDataFrame([("1", "a", "b"), ("2", "b", "c"), ("3", "c", "d")], "id string, from_id string, to_id string")
+    left = V.edges_without(e, spark.createDataFrame([("a",), ("c",)], "id string"))
+    assert left.isEmpty() and exchanges(left) == 0

@@ -130,3 +130,7 @@ def test_edges_go_with_either_end(spark):
     e = spark.createDataFrame([("1", "a", "b"), ("2", "b", "c"), ("3", "c", "d")], "id string, from_id string, to_id string")
     left = V.edges_without(e, spark.createDataFrame([("a",), ("c",)], "id string"))
     assert left.isEmpty() and exchanges(left) == 0
+
+
+def test_edges_are_stored_without_their_ids(spark):
+    assert A.stored(spark, SF, "edges_raw").columns == ["kind", "from_id", "to_id", "confidence", "valid_to"]

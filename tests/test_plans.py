@@ -134,3 +134,21 @@ def test_edges_go_with_either_end(spark):
 
 def test_edges_are_stored_without_their_ids(spark):
     assert A.stored(spark, SF, "edges_raw").columns == ["kind", "from_id", "to_id", "confidence", "valid_to"]
+
+
+def test_an_upsert_of_edges_moves_no_ids_and_sorts_by_rows_not_by_session(spark, monkeypatch):
+    """The plan is the same at every size, and a task's share of edges doesn't follow the session's number of partitions."""
+    monkeypatch.setattr(A, "EDGES_PER_TASK", 2000)
+    n = A.edge_tasks(spark, SF)
+    plan = QUERIES["edge_upsert_semijoin"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert n > 4 and "hashpartitioning(id#" not in plan and "BroadcastHashJoin" not in plan
+    assert plan.count(f", {n}), REPARTITION_BY_NUM") == 4 and plan.count("Exchange") == 6
+
+
+def test_upsert_by_several_columns(spark):
+    old = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), (None, 1, "z")], "k string, n int, v string")
+    new = spark.createDataFrame([("a", 2, "w"), ("b", 2, None), (None, 1, "q")], old.schema)
+    want = [("None", 1, "q"), ("None", 1, "z"), ("a", 1, "x"), ("a", 2, "w"), ("b", 2, None)]
+    for parts in (None, 3):
+        got = V.upsert(old, new, ["k", "n"], parts).collect()
+        assert sorted((str(r.k), r.n, r.v) for r in got) == want

@@ -12,7 +12,7 @@ import ast
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -30,6 +30,7 @@ _ROW = (
 _NAMES = [x.split()[0] for x in _ROW.split(", ")]
 _BLOCK_NODES = {ast.If: "if", ast.For: "for", ast.AsyncFor: "for", ast.While: "while", ast.Try: "try", ast.With: "with", ast.AsyncWith: "with", ast.Match: "match", ast.Lambda: "lambda"}
 TYPE_KINDS = ["Class", "Interface", "Struct", "Enum", "Trait"]
+WHAT = ("node", "ref", "block")  #: what a row is
 
 
 def _row(path: str, lang: str, what: str, **more) -> dict:
@@ -61,7 +62,24 @@ class _Lines:
         return self.bytes[n] + len(self.text[self.starts[n] : at].encode("utf-8", "surrogatepass"))
 
 
-def _python(path: str, text: str) -> Iterator[dict]:
+_DEFS, _IMPORT = (ast.FunctionDef, ast.AsyncFunctionDef), (ast.Import, ast.ImportFrom)
+_LEAVES = (ast.Name, ast.Constant, ast.expr_context, ast.operator, ast.unaryop, ast.cmpop, ast.boolop, ast.alias)
+
+
+def _children(x: ast.AST) -> list[ast.AST]:
+    """Nodes right below x, the last one first, without those that neither make a row nor hold one that does."""
+    out: list[ast.AST] = []
+    for f in x._fields:
+        v = getattr(x, f, None)
+        if type(v) is list:
+            out += [y for y in v if isinstance(y, ast.AST) and not isinstance(y, _LEAVES)]
+        elif isinstance(v, ast.AST) and not isinstance(v, _LEAVES):
+            out.append(v)
+    out.reverse()
+    return out
+
+
+def _python(path: str, text: str, want: tuple[str, ...] = WHAT) -> Iterator[dict]:
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
@@ -72,6 +90,7 @@ def _python(path: str, text: str) -> Iterator[dict]:
         at.append(at[-1] + len(x))
     raw = b"".join(lines)
     put = lambda what, **m: _row(path, "python", what, **m)
+    node, ref, block = (w in want for w in WHAT)
 
     def span(node) -> dict:
         a, b = at[node.lineno - 1] + node.col_offset, at[node.end_lineno - 1] + node.end_col_offset
@@ -81,28 +100,30 @@ def _python(path: str, text: str) -> Iterator[dict]:
         return [x.arg for x in [*a.posonlyargs, *a.args, *filter(None, [a.vararg]), *a.kwonlyargs, *filter(None, [a.kwarg])]]
 
     # node, enclosing class, enclosing function, depth of blocks in that function
-    todo: list[tuple] = [(x, None, None, 0) for x in reversed(list(ast.iter_child_nodes(tree)))]
+    todo: list[tuple] = [(x, None, None, 0) for x in _children(tree)]
     while todo:
         x, owner, fn, depth = todo.pop()
         src = {"src_kind": "Function" if fn else None, "src_name": fn}
         inner = (owner, fn, depth)
         if isinstance(x, ast.ClassDef):
-            yield put("node", kind="Class", name=x.name, src_kind="Class" if owner else None, src_name=owner, **span(x))
-            for base in x.bases:
+            if node:
+                yield put("node", kind="Class", name=x.name, src_kind="Class" if owner else None, src_name=owner, **span(x))
+            for base in x.bases if ref else ():
                 yield put("ref", kind="INHERITS", src_kind="Class", src_name=x.name, start_line=x.lineno, target=ast.unparse(base).split("[")[0].split(".")[-1])
-            for y in x.body:
+            for y in x.body if node else ():
                 if isinstance(y, ast.AnnAssign) and isinstance(y.target, ast.Name):
                     yield put("node", kind="Field", name=y.target.id, src_kind="Class", src_name=x.name, **span(y))
             inner = (x.name, fn, depth)
-        elif isinstance(x, ast.FunctionDef | ast.AsyncFunctionDef):
-            returns = ast.unparse(x.returns) if x.returns else None
-            yield put("node", kind="Function", name=x.name, src_kind="Class" if owner else None, src_name=owner, signature=f"{x.name}({ast.unparse(x.args)})", return_type=returns, **span(x))
+        elif isinstance(x, _DEFS):
+            if node:
+                returns = ast.unparse(x.returns) if x.returns else None
+                yield put("node", kind="Function", name=x.name, src_kind="Class" if owner else None, src_name=owner, signature=f"{x.name}({ast.unparse(x.args)})", return_type=returns, **span(x))
             inner = (owner, x.name, 0)
-        elif isinstance(x, ast.Import | ast.ImportFrom):
+        elif ref and isinstance(x, _IMPORT):
             module = "." * getattr(x, "level", 0) + (getattr(x, "module", None) or "")
             for a in x.names:
                 yield put("ref", kind="IMPORTS", start_line=x.lineno, target=a.name if isinstance(x, ast.Import) else module, name=a.asname or a.name)
-        elif isinstance(x, ast.Call):
+        elif ref and isinstance(x, ast.Call):
             f = x.func
             name = f.id if isinstance(f, ast.Name) else f.attr if isinstance(f, ast.Attribute) else None
             if name and fn:
@@ -114,9 +135,10 @@ def _python(path: str, text: str) -> Iterator[dict]:
                 own = params(x.args)
                 name = f"lambda({', '.join(own)})"
                 caught = sorted({y.id for y in ast.walk(x.body) if isinstance(y, ast.Name) and isinstance(y.ctx, ast.Load)} - set(own))
-            yield put("block", kind=kind, name=name, depth=depth + 1, captures=caught, **src, **span(x))
+            if block:
+                yield put("block", kind=kind, name=name, depth=depth + 1, captures=caught, **src, **span(x))
             inner = (owner, fn, depth + 1)
-        todo += [(y, *inner) for y in reversed(list(ast.iter_child_nodes(x)))]
+        todo += [(y, *inner) for y in _children(x)]
 
 
 _NOISE = re.compile(r'//[^\n]*|/\*.*?\*/|r#*".*?"#*|`(?:\\.|[^`\\])*`|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])\'', re.S)
@@ -238,13 +260,14 @@ def _split_types(text: str) -> list[str]:
     return [x.strip() for x in [*out, now] if x.strip()]
 
 
-def _braces(path: str, lang: str, text: str) -> Iterator[dict]:
+def _braces(path: str, lang: str, text: str, want: tuple[str, ...] = WHAT) -> Iterator[dict]:
     family = "typescript" if lang == "tsx" else lang
     clean = blank(text)
     lines = _Lines(text)
     close, ends = _structure(clean)
     line = lines.line
     put = lambda what, **m: _row(path, lang, what, **m)
+    node, ref, block = (w in want for w in WHAT)
 
     def span(a: int, b: int) -> dict:
         return {"start_line": line(a), "end_line": line(b), "start_byte": lines.byte(a), "end_byte": lines.byte(b + 1), "code_hash": _hash(text[a : b + 1])}
@@ -266,10 +289,11 @@ def _braces(path: str, lang: str, text: str) -> Iterator[dict]:
         t = types.around(at, but)
         return t[2][:2] if t else (None, None)
 
-    for start, end, (kind, name, m, brace) in types.spans:
-        above = owner_of(start, start)
-        yield put("node", kind=kind, name=name, src_kind=above[0], src_name=above[1], **span(start, end))
-        supers = [] if family in ("go", "rust") else [m[3], m[4] if family != "cpp" else None]
+    for start, end, (kind, name, m, brace) in types.spans if node or ref else ():
+        if node:
+            above = owner_of(start, start)
+            yield put("node", kind=kind, name=name, src_kind=above[0], src_name=above[1], **span(start, end))
+        supers = [] if not ref or family in ("go", "rust") else [m[3], m[4] if family != "cpp" else None]
         for group, edge in zip(supers, ("EXTENDS" if family == "java" and kind == "Class" else "INHERITS", "IMPLEMENTS"), strict=False):
             for part in _split_types(group or ""):
                 base = re.sub(r"<.*|\b(public|private|protected|virtual)\b", "", part, flags=re.S).strip().split("::")[-1].split(".")[-1]
@@ -282,8 +306,9 @@ def _braces(path: str, lang: str, text: str) -> Iterator[dict]:
                 f = re.match(field, raw) if depth == 0 else None
                 if f and (family == "go" or f[1] not in ("return", "throw", "package", "import", "using", "typedef")):
                     field_name = f[1] if family == "go" else f[2]
-                    yield put("node", kind="Field", name=field_name, src_kind=kind, src_name=name, **span(pos, pos + len(raw) - 1))
-                    if family == "java":
+                    if node:
+                        yield put("node", kind="Field", name=field_name, src_kind=kind, src_name=name, **span(pos, pos + len(raw) - 1))
+                    if ref and family == "java":
                         src = {"src_kind": "Field", "src_name": field_name, "start_line": line(pos), "target": f[1].strip()}
                         yield put("ref", kind="TYPES", **src)
                         if a := _INJECT.search(above_line + raw):
@@ -314,13 +339,13 @@ def _braces(path: str, lang: str, text: str) -> Iterator[dict]:
     functions = _Nest(made)
     params = {"cpp": 3, "go": 3}.get(family, 2)
     returns = {"rust": 3, "typescript": 3, "go": 4}.get(family)
-    braced = [(b.start(), b[1], b.end()) for b in _BLOCKS.finditer(clean)]
+    braced = [(b.start(), b[1], b.end()) for b in _BLOCKS.finditer(clean)] if block else []
     blocks = []
     for at, word, after in braced:
         i = bisect_left(ends, after)
         if i < len(ends) and clean[ends[i]] in "{;":
             blocks.append((at, close.get(ends[i], ends[i]), (word, None, [])))
-    if family == "rust":
+    if block and family == "rust":
         for m in _CLOSURE.finditer(clean):
             if functions.around(m.start(1)) is None:
                 continue
@@ -330,12 +355,13 @@ def _braces(path: str, lang: str, text: str) -> Iterator[dict]:
             used = {x for x in re.findall(r"(?<![\w.:])([a-z_]\w*)(?!\w|\s*[(!:])", clean[body : stop + 1])} - set(own) - _NO_CALL - {"true", "false", "self", "mut", "ref", "move"}
             blocks.append((m.start(1) - 1, stop, ("lambda", f"|{', '.join(own)}|", sorted(used))))
     nested = _Nest(blocks)
-    for first, end, (kind, name, m, start, _brace, kind_of, owner, head) in functions.spans:
-        sig = f"{name}({' '.join(text[m.start(params) : m.end(params)].split())})"
-        yield put("node", kind=kind, name=name, src_kind=kind_of, src_name=owner, signature=sig, return_type=((m[returns] or "").strip() or None) if returns else None, **span(first, end))
-        if family == "java" and re.search(r"@Override\b", head):
+    for first, end, (kind, name, m, start, _brace, kind_of, owner, head) in functions.spans if node or ref else ():
+        if node:
+            sig = f"{name}({' '.join(text[m.start(params) : m.end(params)].split())})"
+            yield put("node", kind=kind, name=name, src_kind=kind_of, src_name=owner, signature=sig, return_type=((m[returns] or "").strip() or None) if returns else None, **span(first, end))
+        if ref and family == "java" and re.search(r"@Override\b", head):
             yield put("ref", kind="OVERRIDES", src_kind=kind, src_name=name, start_line=line(start), target=name, name=owner)
-        if family == "java" and kind == "Constructor" and (a := _INJECT.search(head)):
+        if ref and family == "java" and kind == "Constructor" and (a := _INJECT.search(head)):
             for p in _split_types(m[params]):
                 words = re.sub(r"@\w+(?:\([^)]*\))?|\bfinal\b", "", p).split()
                 if len(words) > 1:
@@ -344,6 +370,8 @@ def _braces(path: str, lang: str, text: str) -> Iterator[dict]:
         fn = functions.around(at)
         if fn and fn[2][4] < at:
             yield put("block", kind=word, name=name, src_kind=fn[2][0], src_name=fn[2][1], depth=nested.depth(at, fn[2][4]), captures=caught, **span(at, end))
+    if not ref:
+        return
     for m in re.finditer(r"(?:(?<=\.)|(?<=->)|(?<=::)|(?<!~)\b)([A-Za-z_]\w*)\s*\(", clean):
         if m[1] in _NO_CALL or m.start(1) in names:
             continue
@@ -380,28 +408,32 @@ def _stops(clean: str, at: int) -> Iterator[re.Match]:
             depth -= 1
 
 
-def extract_text(path: str, lang: str, text: str) -> list[dict]:
-    """All rows of a file: nodes, references and blocks, told apart by ``what``."""
+def extract_text(path: str, lang: str, text: str, want: tuple[str, ...] = WHAT) -> list[dict]:
+    """All rows of a file: nodes, references and blocks, told apart by ``what``; of these, the ones that are wanted."""
     if not text.strip():
         return []
-    return list(_python(path, text) if lang == "python" else _braces(path, lang, text) if lang in (*_TYPES, "tsx") else ())
+    return list(_python(path, text, want) if lang == "python" else _braces(path, lang, text, want) if lang in (*_TYPES, "tsx") else ())
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _extract(want: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     kinds = [pa.string()] * 7 + [pa.int32()] * 2 + [pa.int64()] * 2 + [pa.string()] * 4 + [pa.int32(), pa.list_(pa.string()), pa.string()]
 
     def made(rows: list[dict]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in zip(_NAMES, kinds, strict=True)], names=_NAMES)
+        have = set().union(*rows)
+        return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) if n in have else pa.nulls(len(rows), t) for n, t in zip(_NAMES, kinds, strict=True)], names=_NAMES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
+        for batch in batches:
+            for path, lang, content in zip(*(batch.column(c).to_pylist() for c in ("path", "lang", "content")), strict=True):
+                rows += extract_text(path, lang, (content or b"").decode("utf-8", "replace"), want)
+                while len(rows) >= 2000:
+                    yield made(rows[:2000])
+                    rows = rows[2000:]
+        if rows:
+            yield made(rows)
 
-    rows: list[dict] = []
-    for batch in batches:
-        for path, lang, content in zip(*(batch.column(c).to_pylist() for c in ("path", "lang", "content")), strict=True):
-            rows += extract_text(path, lang, (content or b"").decode("utf-8", "replace"))
-            while len(rows) >= 2000:
-                yield made(rows[:2000])
-                rows = rows[2000:]
-    if rows:
-        yield made(rows)
+    return run
 
 
 FILES_PER_TASK = 10_000
@@ -415,10 +447,15 @@ def spread(keys: DataFrame, key: str, files: int = FILES_PER_TASK) -> DataFrame:
     return keys.repartition(max(1, -(-keys.count() // files)), key)
 
 
-def extract(files: DataFrame) -> DataFrame:
-    """Raw rows of files (path, lang, content)."""
+def extract(files: DataFrame, *want: str) -> DataFrame:
+    """Raw rows of files (path, lang, content): those of ``want`` (node, ref, block) alone, or all.
+
+    The others are neither made nor sent to the JVM, which is most of the work.
+    """
+    if unknown := set(want) - set(WHAT):
+        raise ValueError(f"unknown rows {sorted(unknown)}")
     prepare(files.sparkSession)
-    return files.select("path", "lang", "content").mapInArrow(_extract, _ROW)
+    return files.select("path", "lang", "content").mapInArrow(_extract(want or WHAT), _ROW)
 
 
 def _symbol(project: str, kind: Column, name: Column) -> Column:

@@ -152,3 +152,29 @@ def test_upsert_by_several_columns(spark):
     for parts in (None, 3):
         got = V.upsert(old, new, ["k", "n"], parts).collect()
         assert sorted((str(r.k), r.n, r.v) for r in got) == want
+
+
+def test_rows_that_are_not_wanted_are_not_made():
+    texts = [
+        ("a.java", "java", "import x.Y;\nclass A extends B {\n  @Inject int f;\n  int g(int a) { if (a > 0) { return h(a); } return 0; }\n}\n"),
+        ("a.py", "python", "import os\nclass P(Q):\n    x: int = f()\n    def g(self, n: T = h(1)) -> U:\n        for i in n:\n            k(lambda y: i + y)\n"),
+        ("a.rs", "rust", "use a::b;\nfn f(x: i32) -> i32 { let g = |y| x + y; if x > 0 { h(x) } else { 0 } }\nimpl T for S { }\n"),
+    ]
+    for path, lang, text in texts:
+        rows = P.extract_text(path, lang, text)
+        assert {r["what"] for r in rows} == set(P.WHAT)
+        for what in P.WHAT:
+            assert P.extract_text(path, lang, text, (what,)) == [r for r in rows if r["what"] == what]
+
+
+@pytest.mark.parametrize("name, want", [("extract_nodes", "node"), ("containment_edges", "node"), ("outward_edges", "ref")])
+def test_queries_of_sources_ask_for_their_rows_alone(spark, monkeypatch, name, want):
+    asked, extract = [], P.extract
+    monkeypatch.setattr(P, "extract", lambda files, *w: asked.append(w) or extract(files, *w))
+    QUERIES[name](spark, SF)
+    assert asked == [(want,)]
+
+
+def test_unknown_rows_are_an_error(spark):
+    with pytest.raises(ValueError):
+        P.extract(spark.createDataFrame([], "path string, lang string, content binary"), "nodes")

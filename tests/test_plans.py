@@ -167,7 +167,7 @@ def test_rows_that_are_not_wanted_are_not_made():
             assert P.extract_text(path, lang, text, (what,)) == [r for r in rows if r["what"] == what]
 
 
-@pytest.mark.parametrize("name, want", [("extract_nodes", "node"), ("containment_edges", "node"), ("outward_edges", "ref")])
+@pytest.mark.parametrize("name, want", [("extract_nodes", "node"), ("extract_blocks", "block"), ("containment_edges", "node"), ("outward_edges", "ref")])
 def test_queries_of_sources_ask_for_their_rows_alone(spark, monkeypatch, name, want):
     asked, extract = [], P.extract
     monkeypatch.setattr(P, "extract", lambda files, *w: asked.append(w) or extract(files, *w))

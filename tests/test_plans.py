@@ -195,3 +195,12 @@ def test_nodes_far_from_the_ids_are_not_moved(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert L.get_nodes(n, ids.filter("false")).isEmpty()
+
+
+def test_a_line_is_moved_once_for_all_its_edges(spark, monkeypatch):
+    monkeypatch.setattr(A, "LINES_PER_TASK", 1000)
+    got = A._edge_keys(spark, SF)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 3 and "Exchange hashpartitioning(a#" in plan  # lines, the other edges, events of a user
+    assert plan.index("Generate") < plan.index("Exchange")  # edges are made of lines after the exchange
+    assert got.count() == got.distinct().count() == A.view(spark, SF, "edges_raw").count()
